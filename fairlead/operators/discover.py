@@ -24,13 +24,15 @@ def settle_visits(candidates: DataFrame, max_pages: int = MAX_PAGES, max_rounds:
 
     ``candidates`` holds every link that could be met: run_id, source_no, seq
     (struct compared in walking order), depth, parent_seq (the hub link a
-    depth-2 link came through), url, eligible, loadable, is_hub, max_links.
+    depth-2 link came through), url, eligible, loadable, is_hub, max_links,
+    pinned (recorded even when its URL was seen).
 
     Whether a link counts depends only on links before it (seen already, caps
     used up, hub visited), so repeating the whole-table decision settles from
     the front and stops at the one consistent answer -- the answer of walking
     link by link. Each round is joins and windows; lineage is cut per round.
     """
+    candidates = cut_lineage(candidates)
     hubs = candidates.where((F.col("depth") == 1) & F.col("is_hub") & F.col("eligible") & F.col("loadable"))
     visited_hubs = hubs.select("run_id", F.col("seq").alias("parent_seq")).limit(0)
     before = 0
@@ -41,7 +43,9 @@ def settle_visits(candidates: DataFrame, max_pages: int = MAX_PAGES, max_rounds:
             (F.col("depth") == 1) | F.col("_open")
         ).drop("_open")
         owner = active.groupBy("run_id", "url").agg(F.min("seq").alias("_owner"))
-        recorded = active.join(owner, ["run_id", "url"]).where(F.col("seq") == F.col("_owner")).drop("_owner")
+        recorded = active.join(owner, ["run_id", "url"]).where(
+            F.col("pinned") | (F.col("seq") == F.col("_owner"))
+        ).drop("_owner")
         recorded = cut_lineage(recorded)
         loads = recorded.where(F.col("eligible") & F.col("loadable"))
         visited = cut_lineage(capped_frontier(loads, "run_id", "source_no", "seq", "max_links", max_pages))
@@ -127,9 +131,10 @@ def discover(sources: DataFrame, features: DataFrame, max_pages: int = MAX_PAGES
     second = link_candidates(hub_pages, 2, *keep, "hub_seq")
     depth2 = shaped(second, walk(F.col("hub_seq.a"), F.col("hub_seq.b"), F.col("pos")), F.col("hub_seq"))
     trim = lambda df: df.drop("nodes", "final_url", "_title", "source_url", "category_focus")
-    everything = trim(one).unionByName(trim(visit(depth2))).unionByName(
+    links = trim(one).unionByName(trim(visit(depth2))).withColumn("pinned", F.lit(False))
+    everything = links.unionByName(
         fixed.withColumns({
-            "eligible": F.lit(False), "loadable": F.lit(True), "visited_class": F.lit(None).cast("string"),
+            "pinned": F.lit(True), "eligible": F.lit(False), "loadable": F.lit(True), "visited_class": F.lit(None).cast("string"),
             "is_hub": F.lit(False), "canonical": F.col("url"),
         })
     )
@@ -143,7 +148,7 @@ def discover(sources: DataFrame, features: DataFrame, max_pages: int = MAX_PAGES
             F.lit("candidate page is not among the loaded pages").alias("reason"),
         )
     )
-    return candidates.drop("eligible", "loadable", "is_hub", "visited_class", "canonical", "parent_seq", "max_links"), failures
+    return candidates.drop("eligible", "loadable", "is_hub", "visited_class", "canonical", "parent_seq", "max_links", "pinned"), failures
 
 
 def specific_urls(candidates: DataFrame, *scope: str) -> DataFrame:
