@@ -63,7 +63,7 @@ def dedup(opps: DataFrame, seq: str = "seq", key: Column | None = None, scope: l
     keyed = opps.withColumn("dedup_key", dedup_key() if key is None else key)
     keys = [*scope, "dedup_key"]
     rest = [c for c in keyed.columns if c not in keys]
-    survivors = ordered.first_per_key(keyed, keys, F.col(seq), rest)
+    survivors = ordered.first_per_key(keyed, keys, F.struct(F.col(seq), F.col("source_url")), rest)
     kept = survivors.select(*keys, F.col("source_url").alias("_kept"))
     others = keyed.select(*keys, F.col("source_url").alias("duplicate_source_url")).distinct()
     duplicates = others.join(kept, keys).where(F.col("duplicate_source_url") != F.col("_kept")).drop("_kept")
