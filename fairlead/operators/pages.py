@@ -211,52 +211,45 @@ def jsonld_scripts(html: Column) -> Column:
     return F.regexp_extract_all(html, F.lit(_JSONLD_SCRIPT), F.lit(1))
 
 
-def _as_records(value: Column) -> Column:
-    """A JSON value as a list of JSON texts: lists are opened, objects wrapped."""
-    kind = F.schema_of_variant(value)
-    many = F.try_variant_get(value, "$", "array<variant>")
-    return F.when(kind.startswith("ARRAY"), many).when(kind.startswith("OBJECT"), F.array(value))
+_STRINGS = "array<string>"
 
 
-def jsonld_records(features: DataFrame, key: str = "final_url") -> DataFrame:
-    """One row per JSON-LD record in reading order; ``@graph`` members come before their holder."""
-    scripts = features.select(key, F.posexplode("jsonld").alias("script_no", "body"))
-    parsed = scripts.select(key, "script_no", F.try_parse_json("body").alias("v")).where(F.col("v").isNotNull())
-    top = parsed.select(key, "script_no", F.posexplode(_as_records(F.col("v"))).alias("item_no", "record"))
-    top = top.where(F.schema_of_variant("record").startswith("OBJECT"))
-    graph = F.filter(
-        F.coalesce(F.try_variant_get("record", "$['@graph']", "array<variant>"), F.expr("cast(array() as array<variant>)")),
-        lambda m: F.schema_of_variant(m).startswith("OBJECT"),
-    )
-    rows = top.select(
-        key, "script_no", "item_no", F.posexplode(F.concat(graph, F.array("record"))).alias("member_no", "record")
-    )
-    return rows.select(
-        key, "script_no", "item_no", "member_no", "record",
-        F.transform(record_types(F.col("record")), F.lower).alias("types"),
-    )
+def _none() -> Column:
+    return F.array().cast(_STRINGS)
 
 
-def record_types(record: Column) -> Column:
-    one = F.try_variant_get(record, "$['@type']", "string")
-    many = F.try_variant_get(record, "$['@type']", "array<string>")
-    return F.coalesce(many, F.array_compact(F.array(one)))
+def _objects(items: Column) -> Column:
+    return F.filter(F.coalesce(items, _none()), lambda r: r.startswith("{"))
+
+
+def json_list(body: Column) -> Column:
+    """A JSON list's members as JSON texts, any other JSON value as the only member."""
+    return F.when(body.startswith("["), F.from_json(body, _STRINGS)).when(body.isNotNull(), F.array(body))
 
 
 def jsonld_column(scripts: Column) -> Column:
-    """All records of a page as ``array<variant>`` in reading order, without leaving the row."""
-    values = F.filter(F.transform(scripts, F.try_parse_json), lambda v: v.isNotNull())
-    objects = lambda items: F.filter(items, lambda r: F.schema_of_variant(r).startswith("OBJECT"))
-    empty = F.expr("cast(array() as array<variant>)")
-    top = objects(F.flatten(F.transform(values, lambda v: F.coalesce(_as_records(v), empty))))
-    return F.flatten(
-        F.transform(
-            top,
-            lambda r: F.concat(
-                objects(F.coalesce(F.try_variant_get(r, "$['@graph']", "array<variant>"), empty)), F.array(r)
-            ),
-        )
-    )
+    """All JSON-LD records of a page as JSON texts in reading order; ``@graph`` members come before their holder.
+
+    Malformed scripts are dropped. Pages without scripts never reach the parser.
+    """
+    top = _objects(F.flatten(F.transform(scripts, lambda s: F.coalesce(json_list(F.get_json_object(s, "$")), _none()))))
+    members = F.flatten(F.transform(top, lambda r: F.concat(_graph(r), F.array(r))))
+    return F.when(F.size(scripts) > 0, members).otherwise(_none())
+
+
+def _graph(record: Column) -> Column:
+    body = F.get_json_object(record, "$['@graph']")
+    return F.when(body.startswith("["), _objects(F.from_json(body, _STRINGS))).otherwise(_none())
+
+
+def record_types(record: Column) -> Column:
+    return F.coalesce(json_list(F.get_json_object(record, "$['@type']")), _none())
+
+
+def jsonld_records(features: DataFrame, key: str = "final_url") -> DataFrame:
+    """One row per JSON-LD record, in reading order."""
+    rows = features.select(key, F.posexplode(jsonld_column(F.col("jsonld"))).alias("record_no", "record"))
+    return rows.withColumn("types", F.transform(record_types(F.col("record")), F.lower))
 
 
 # --- links ------------------------------------------------------------------------
