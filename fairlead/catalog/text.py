@@ -87,11 +87,11 @@ def resolve_links(spark, sf):
 
 _PAGE_TEXT = rf"""
     SELECT page_id, {_UNESCAPED.format('t')} AS text FROM (
-      SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(
-               regexp_replace(b2, '\x02+', chr(10), 'g'), '[ \t]*\n[ \t]*', chr(10), 'g'),
-               '\n*\x01[\x01\n ]*', chr(10) || chr(10), 'g'), '[ \t]+', ' ', 'g'), chr(10) || ' ') AS t
-      FROM (SELECT page_id, regexp_replace(regexp_replace(body, '</(p|div|section|article|main|ul|ol|table|tr)>|</?h[1-6]>', '\x01', 'g'),
-                   '(<[^>]*>)+', '\x02', 'g') AS b2
+      SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(
+               regexp_replace(b2, '[ \t]+', ' ', 'g'), '\x02+', chr(10), 'g'), ' ?\n ?', chr(10), 'g'),
+               '[\n ]*\x01[\x01\n ]*', chr(10) || chr(10), 'g'), '\n\n\n+', chr(10) || chr(10), 'g'), chr(10) || ' ') AS t
+      FROM (SELECT page_id, regexp_replace(regexp_replace(body, '</(p|div|section|article|main|ul|ol|table|tr)>|</?h[1-6]>', chr(1), 'g'),
+                   '(<[^>]*>)+', chr(2), 'g') AS b2
             FROM (SELECT page_id, regexp_replace(html,
                   '(?s)<script>.*?</script>|<style>.*?</style>|<nav>.*?</nav>|<footer>.*?</footer>|<!--.*?-->|<!DOCTYPE[^>]*>', '', 'g') AS body
                   FROM pages)))"""

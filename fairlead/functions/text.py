@@ -89,3 +89,12 @@ def is_unknown(column: Column, kind: str = "scalar") -> Column:
     if kind == "component":
         return column.isNull() | (column.getField("status") == "unknown")
     return column.isNull()
+
+
+def hold(column: Column) -> Column:
+    """The same value, but a filter on it stays where it is written.
+
+    Pushing a filter below a chain of projections copies the chain into the
+    condition; for a rule at the end of a long chain that is the whole job again.
+    """
+    return F.when(F.spark_partition_id() >= 0, column)

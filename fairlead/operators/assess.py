@@ -250,7 +250,7 @@ def with_scores(df: DataFrame) -> DataFrame:
     return df.withColumn("total_score", sum((F.col(f"{name}.score") for name in structs), F.lit(0)))
 
 
-def score_violations(df: DataFrame) -> Column:
+def score_violations() -> Column:
     """Why a row's scores cannot stand, NULL when they can."""
     odd = F.lit(False)
     for name in _DIMENSIONS:
@@ -275,7 +275,7 @@ def assess(pairs: DataFrame, opps: DataFrame, profiles: DataFrame, as_of: Column
     df = df.withColumn("priority_band", priority_band(
         F.col("total_score"), F.col("eligibility_status"), F.col("hard_blockers"), F.col("match_mode"), F.col("discovery_reason")
     ))
-    df = df.withColumn("failure", score_violations(df))
+    df = df.withColumn("failure", tx.hold(score_violations()))
     good = df.where(F.col("failure").isNull()).select(
         *pairs.columns, "opportunity_status", "eligibility_status", "eligibility_confidence", "eligibility_reason",
         "hard_blockers", "uncertainties", F.col("profile_evidence").alias("supporting_profile_evidence"),

@@ -12,6 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from fairlead import schemas
+from fairlead.operators.classify import derive_status
 
 TABLES = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages",
@@ -173,6 +174,7 @@ def notice_records(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("mode").alias("participation_mode"), F.col("rolling").alias("rolling_application"),
         F.concat(F.lit("Work on "), F.lower("field"), F.lit(" with research and training.")).alias("summary"),
         F.lit(AS_OF).cast("timestamp").alias("last_verified_at"),
+        derive_status(F.col("deadline"), F.col("opening_date"), F.lit(AS_OF).cast("timestamp"), F.col("rolling")).alias("status"),
         schemas.fill(
             schemas.ELIGIBILITY, minimum_age=F.col("min_age"), regions_allowed=F.array("region"),
             requirements_complete=F.col("cv"),
@@ -183,10 +185,8 @@ def notice_records(spark: SparkSession, sf_dir: str) -> DataFrame:
         schemas.fill(
             schemas.APPLICATION, application_fee=F.col("fee"), cv_required=F.when(F.col("cv"), True),
         ).alias("application"),
-        F.col("notice_id"),
     )
-    out = schemas.conform(known, schemas.OPPORTUNITY)
-    return out
+    return schemas.conform(known, schemas.OPPORTUNITY)
 
 
 def seeker_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -220,7 +220,7 @@ def notice_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def notice_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An HTML page per notice: the text jobs read the notice back out of it."""
-    n = view(spark, sf_dir, "notices")
+    n = view(spark, sf_dir, "notices").repartition("notice_id")  # parsing should not follow the order file's splits
     date = lambda c: F.date_format(c, "MMMM d, yyyy")
     told = {
         "covered": "Flights are covered.", "not_covered": "Flights are not covered.",
