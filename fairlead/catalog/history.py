@@ -1 +1,157 @@
-"""..."""
+"""Versions, state, ledgers and run reports over event observations."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import functions as F
+
+from fairlead import vocab
+from fairlead.catalog.base import query
+from fairlead.operators import history as hs, notify as nt, reports as rp
+from fairlead.sources import bindings as b
+from fairlead.streaming import jobs
+
+_TRACK = """
+  tracked AS (
+    SELECT *, CASE WHEN first THEN 'new' WHEN s OR k THEN 'changed' ELSE 'known_unchanged' END AS change_class,
+           CASE WHEN s AND k THEN 'status,bucket' WHEN s THEN 'status' WHEN k THEN 'bucket' ELSE '' END AS changed_fields,
+           sum(CASE WHEN s OR k THEN 1 ELSE 0 END) OVER (PARTITION BY record_id ORDER BY seq) AS version_number
+    FROM (SELECT *, row_number() OVER w = 1 AS first, row_number() OVER w = 1 OR lag(status) OVER w IS DISTINCT FROM status AS s,
+                 row_number() OVER w = 1 OR lag(bucket) OVER w IS DISTINCT FROM bucket AS k FROM observations WINDOW w AS (PARTITION BY record_id ORDER BY seq)))"""
+
+
+def tracked(spark, sf, width: int = 1000):
+    """Small sequence buckets, so that the two-step windows do real work on the test tables."""
+    return hs.change_track(b.view(spark, sf, "observations"), "record_id", "seq", ["status", "bucket"], width)
+
+
+def track_sql(select: str) -> str:
+    return b.with_views("", "observations").rstrip() + "," + _TRACK + select
+
+
+@query("change_track", track_sql(" SELECT record_id, seq, change_class, changed_fields, cast(version_number as bigint) AS version_number FROM tracked"))
+def change_track(spark, sf):
+    return tracked(spark, sf).select("record_id", "seq", "change_class", F.array_join("changed_fields", ",").alias("changed_fields"), "version_number")
+
+
+@query("versions", track_sql(" SELECT record_id, count(*) AS versions, max(seq) AS last_seq FROM tracked WHERE change_class <> 'known_unchanged' GROUP BY 1"))
+def versions(spark, sf):
+    kept = hs.versions(tracked(spark, sf))
+    return kept.groupBy("record_id").agg(F.count(F.lit(1)).alias("versions"), F.max("seq").alias("last_seq"))
+
+
+@query("track_against_state", track_sql(""" SELECT record_id, seq, change_class, cast(version_number as bigint) AS version_number FROM tracked
+    WHERE seq >= (SELECT max(seq) // 2 FROM observations)"""))
+def track_against_state(spark, sf):
+    obs = b.view(spark, sf, "observations")
+    half = obs.agg(F.floor(F.max("seq") / 2)).scalar()
+    old = hs.change_track(obs.where(F.col("seq") < half), "record_id", "seq", ["status", "bucket"], 1000)
+    state = old.groupBy("record_id").agg(
+        F.max_by("status", "seq").alias("status"), F.max_by("bucket", "seq").alias("bucket"), F.max("version_number").alias("version_number")
+    )
+    done = hs.track_against(state, obs.where(F.col("seq") >= half), "record_id", "seq", ["status", "bucket"])
+    return done.select("record_id", "seq", "change_class", "version_number")
+
+
+@query("state_fold", b.with_views("""
+    SELECT record_id, arg_min(seen_at, seq) AS first_seen_at, arg_max(seen_at, seq) AS last_seen_at, arg_min(status, seq) AS first_status,
+           arg_max(bucket, seq) AS bucket FROM observations GROUP BY 1""", "observations"))
+def state_fold(spark, sf):
+    obs = b.view(spark, sf, "observations").withColumnRenamed("status", "first_status")
+    return hs.state_fold(obs, "record_id", "seq", "seen_at", ["first_status"], ["bucket"])
+
+
+@query("precedence_merge", track_sql(""" SELECT bucket, record_id, seq, change_class FROM (
+    SELECT *, row_number() OVER (PARTITION BY bucket ORDER BY CASE change_class WHEN 'new' THEN 0 WHEN 'changed' THEN 1 ELSE 2 END, seq) AS n FROM tracked) WHERE n = 1"""))
+def precedence_merge(spark, sf):
+    return hs.precedence_merge(tracked(spark, sf), ["bucket"], "seq").select("bucket", "record_id", "seq", "change_class")
+
+
+@query("run_counts", track_sql(""" SELECT status AS run, count(*) FILTER (change_class = 'new') AS new, count(*) FILTER (change_class = 'known_unchanged') AS known_unchanged,
+    count(*) FILTER (change_class = 'changed') AS changed, count(*) AS total FROM tracked GROUP BY 1"""))
+def run_counts(spark, sf):
+    return rp.run_counts(tracked(spark, sf).withColumnRenamed("status", "run"), "run", "change_class", vocab.CHANGE_CLASSES)
+
+
+@query("provenance_fold", b.with_views("""
+    SELECT record_id, status, min(seen_at) AS first_discovered_at, max(seen_at) AS last_discovered_at FROM observations GROUP BY 1, 2""", "observations"))
+def provenance_fold(spark, sf):
+    return hs.provenance_fold(b.view(spark, sf, "observations"), ["record_id", "status"], "seen_at")
+
+
+_LEDGER = """
+    SELECT plan_no, chunk_index, count(*) AS attempts, min(attempted_at) FILTER (delivered) AS first_sent_at, max(attempted_at) FILTER (delivered) AS last_sent_at,
+           max(attempted_at) AS last_attempted_at, CASE WHEN arg_max(delivered, seq) THEN 'delivered' ELSE 'failed' END AS delivery_status,
+           CASE WHEN NOT arg_max(delivered, seq) THEN arg_max(event, seq) END AS error
+    FROM (SELECT *, coalesce(error, 'purchase') AS event FROM attempts) GROUP BY 1, 2"""
+
+
+def _ledger(spark, sf):
+    rows = b.view(spark, sf, "attempts")
+    # an attempt that succeeds records no error, which is itself the last word
+    folded = hs.fold_attempts(rows, ["plan_no", "chunk_index"], "seq", "attempted_at", F.col("delivered"), F.coalesce("error", F.lit("")))
+    return folded.withColumn("error", F.nullif("error", F.lit("")))
+
+
+@query("ledger", b.with_views(_LEDGER, "attempts"))
+def ledger(spark, sf):
+    return _ledger(spark, sf)
+
+
+@query("delivery_complete", b.with_views(f"""
+    SELECT plan_no, count(*) FILTER (delivery_status = 'delivered') AS delivered, 1 + plan_no % 3 AS expected,
+           count(*) FILTER (delivery_status = 'delivered') >= 1 + plan_no % 3 AS complete FROM ({_LEDGER}) GROUP BY 1""", "attempts"))
+def delivery_complete(spark, sf):
+    return nt.delivery_complete(_ledger(spark, sf).withColumn("chunk_count", 1 + F.col("plan_no") % 3), "plan_no")
+
+
+@query("suppress", b.with_views(f"""
+    SELECT record_id, part FROM (SELECT DISTINCT record_id, bucket % 7 AS part FROM observations) o
+    WHERE NOT EXISTS (SELECT 1 FROM ({_LEDGER}) l WHERE l.plan_no = o.record_id AND l.chunk_index = o.part AND delivery_status = 'delivered' AND chunk_index % 2 = 0)""", "observations", "attempts"))
+def suppress(spark, sf):
+    items = b.view(spark, sf, "observations").select(F.col("record_id").alias("item_id"), (F.col("bucket") % 7).alias("fingerprint")).distinct()
+    kind = F.when(F.col("chunk_index") % 2 == 0, "daily_digest").otherwise("immediate_alert")
+    done = _ledger(spark, sf).select(
+        F.col("plan_no").alias("item_id"), F.col("chunk_index").cast("long").alias("fingerprint"), kind.alias("notification_type"), "delivery_status"
+    )
+    return nt.suppress(items, done, ["daily_digest"]).select(F.col("item_id").alias("record_id"), F.col("fingerprint").alias("part"))
+
+
+@query("retry_set", b.with_views("", "attempts").rstrip() + f""",
+    l AS ({_LEDGER}), done AS (SELECT plan_no FROM l GROUP BY 1 HAVING count(*) FILTER (delivery_status = 'delivered') >= 3)
+    SELECT plan_no, chunk_index FROM l WHERE plan_no NOT IN (SELECT plan_no FROM done) AND (delivery_status = 'failed' OR plan_no % 5 = 0)""")
+def retry_set(spark, sf):
+    base = _ledger(spark, sf)
+    mark = lambda changed: F.concat(F.lit("c"), F.col("chunk_index").cast("string"), F.when(changed, "x").otherwise(""))
+    book = base.withColumn("chunk_fingerprint", mark(F.lit(False))).withColumn("chunk_count", F.lit(3))
+    wanted = base.select("plan_no", "chunk_index", mark(F.col("plan_no") % 5 == 0).alias("chunk_fingerprint"))
+    return nt.retry_set(wanted, book, "plan_no").select("plan_no", "chunk_index")
+
+
+@query("plan_attempts", b.with_views(f"""
+    SELECT o.record_id, l.plan_no, l.delivery_status, count(*) AS items FROM observations o JOIN ({_LEDGER}) l ON o.record_id = l.plan_no AND l.chunk_index = 0 GROUP BY 1, 2, 3""", "observations", "attempts"))
+def plan_attempts(spark, sf):
+    planned = b.view(spark, sf, "observations").select(
+        F.col("record_id").alias("plan_id"), F.col("seq").alias("item_id"), F.col("bucket").alias("fingerprint"), F.lit("daily_digest").alias("notification_type"), "record_id"
+    )
+    outcomes = _ledger(spark, sf).where(F.col("chunk_index") == 0).select(
+        F.col("plan_no").alias("plan_id"), "delivery_status", F.col("last_attempted_at").alias("attempted_at"), "error"
+    )
+    rows = nt.plan_attempts(planned, outcomes)
+    return rows.groupBy(F.col("plan_id").alias("record_id"), F.col("plan_id").alias("plan_no"), "delivery_status").agg(F.count(F.lit(1)).alias("items"))
+
+
+@query("stream_dedup")
+def stream_dedup(spark, sf):
+    """Pages as a file stream; every page arrives twice in the stream and passes once."""
+    schema = spark.read.parquet(f"{sf}/pages.parquet").schema
+    base = spark.conf.get("spark.checkpoint.dir", "/tmp/fairlead-streams")
+    folder = f"{base}/stream-{uuid.uuid4().hex}"
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "pages.parquet").parquet(sf).withColumn(
+        "fetched_at", F.timestamp_seconds(F.lit(1_560_000_000) + F.col("page_id"))
+    )
+    twice = stream.unionByName(stream)
+    done = jobs.run_once(jobs.stream_dedup(twice, "url", "fetched_at").select("page_id", "canonical"), f"{folder}/out", f"{folder}/state")
+    done.awaitTermination()
+    return spark.read.schema("page_id long, canonical string").parquet(f"{folder}/out")

@@ -61,6 +61,21 @@ def sentences(text: Column) -> Column:
     return F.transform(parts, lambda s: F.btrim(s, F.lit(SENTENCE_TRIM)))
 
 
+def _literal_sql(value) -> str:
+    if isinstance(value, dict):
+        return "map(" + ", ".join(f"{_literal_sql(k)}, {_literal_sql(v)}" for k, v in value.items()) + ")"
+    if isinstance(value, (list, tuple)):
+        return "array(" + ", ".join(_literal_sql(v) for v in value) + ")"
+    if isinstance(value, str):
+        return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    return str(value).lower() if isinstance(value, bool) else str(value)
+
+
+def literal(value) -> Column:
+    """A map, list or scalar constant, parsed in one step; Catalyst folds it."""
+    return F.expr(_literal_sql(value))
+
+
 def first_group(text: Column, pattern: str, group: int = 1) -> Column:
     """A regex group, NULL when the pattern or the group did not match."""
     return F.nullif(F.regexp_extract(text, pattern, group), F.lit(""))

@@ -16,12 +16,8 @@ _APPLICATION_BURDENS = (
 )
 
 
-def _scores(table: dict) -> Column:
-    return F.create_map(*[F.lit(x) for pair in table.items() for x in pair])
-
-
 def score_of(level: Column, table: dict) -> Column:
-    return F.try_element_at(_scores(table), level)
+    return F.try_element_at(tx.literal(table), level)
 
 
 # --- per opportunity --------------------------------------------------------------
@@ -38,7 +34,7 @@ def opportunity_text() -> Column:
 
 def frontier_term(norm_text: Column) -> Column:
     """Alphabetically first frontier term contained in the normalised text."""
-    return F.get(F.filter(F.lit(list(vocab.FRONTIER_TERMS)), lambda t: F.contains(norm_text, t)), 0)
+    return F.get(F.filter(tx.literal(vocab.FRONTIER_TERMS), lambda t: F.contains(norm_text, t)), 0)
 
 
 def friction(application: Column) -> Column:
@@ -143,7 +139,7 @@ def value_level(signals: Column) -> Column:
         .when(has("fully funded training") & (has("training access") | has("certification access")), 3)
         .when(has("fully funded training"), 2).otherwise(0)
     )
-    levels = F.lit(["minimal", "limited", "moderate", "strong", "very_high", "exceptional_multi_dimensional"])
+    levels = tx.literal(("minimal", "limited", "moderate", "strong", "very_high", "exceptional_multi_dimensional"))
     return F.get(levels, F.greatest(rank, promoted))
 
 

@@ -63,7 +63,7 @@ def _alias_owner() -> Column:
     for concept, aliases in vocab.CONCEPT_ALIASES.items():
         for alias in (concept, *aliases):
             owner.setdefault(alias, concept)
-    return F.create_map(*[F.lit(x) for pair in owner.items() for x in pair])
+    return tx.literal(owner)
 
 
 def canonical_term(term: Column) -> Column:
@@ -121,9 +121,7 @@ def profile_signals(profiles: DataFrame) -> DataFrame:
 
 def concept_phrases(concepts: DataFrame) -> DataFrame:
     """``(concept, phrase)``: a concept's aliases, or the concept itself."""
-    aliases = F.create_map(*[
-        x for c, a in vocab.CONCEPT_ALIASES.items() for x in (F.lit(c), F.lit(list(a)))
-    ])
+    aliases = tx.literal(vocab.CONCEPT_ALIASES)
     listed = F.coalesce(F.try_element_at(aliases, F.col("concept")), F.array("concept"))
     return concepts.select("concept").distinct().select("concept", F.explode(listed).alias("phrase"))
 

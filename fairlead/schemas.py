@@ -103,16 +103,22 @@ _TEXT_DEFAULTS = {"category": "Unknown", "status": "unknown", "participation_mod
                   "extraction_confidence": "medium"}
 
 
-def default_value(field: T.StructField) -> Column:
-    """Unknown in the field's own terms: NULL, empty list, unknown component."""
+def _default_sql(field: T.StructField) -> str:
     kind = field.dataType
     if isinstance(kind, T.ArrayType):
-        return F.array().cast(kind)
+        return f"cast(array() as {kind.simpleString()})"
     if isinstance(kind, T.StructType):
-        return fill(kind)
+        return "named_struct(" + ", ".join(f"'{f.name}', {_default_sql(f)}" for f in kind.fields) + ")"
     if field.name in _FALSE_BY_DEFAULT:
-        return F.lit(False)
-    return F.lit(_TEXT_DEFAULTS.get(field.name)).cast(kind)
+        return "false"
+    if field.name in _TEXT_DEFAULTS:
+        return f"'{_TEXT_DEFAULTS[field.name]}'"
+    return f"cast(null as {kind.simpleString()})"
+
+
+def default_value(field: T.StructField) -> Column:
+    """Unknown in the field's own terms: NULL, empty list, unknown component."""
+    return F.expr(_default_sql(field))
 
 
 def fill(kind: T.StructType, **known: Column) -> Column:
