@@ -92,27 +92,33 @@ def meta_property(html: Column, name: str) -> Column:
     return tx.blank_to_null(tx.collapse(_unescape(F.coalesce(tx.blank_to_null(quoted), single))))
 
 
-def page_canonical(html: Column, final_url: Column) -> Column:
-    """``<link rel=canonical>`` when it is a web URL, else the final URL; both canonicalised."""
+def canonical_href(html: Column) -> Column:
+    """Target of ``<link rel=canonical>`` as written, else NULL."""
     tag = F.regexp_extract(html, r"""(?is)<link\b(?=[^>]*\brel\s*=\s*["']?[^"'>]*\bcanonical\b)[^>]*>""", 0)
-    href = tx.blank_to_null(F.regexp_extract(tag, r"""(?is)\bhref\s*=\s*["']?([^"'\s>]+)""", 1))
-    target = urls.resolve_url(final_url, _unescape(href))
-    return urls.canonical_url(F.when(urls.is_web(target), target).otherwise(final_url))
+    return _unescape(tx.blank_to_null(F.regexp_extract(tag, r"""(?is)\bhref\s*=\s*["']?([^"'\s>]+)""", 1)))
+
+
+def with_canonical(pages: DataFrame, html: str = "raw_html", final_url: str = "final_url") -> DataFrame:
+    """Adds ``canonical``: the page's own canonical link when it is a web URL, else the final URL, canonicalised."""
+    step = pages.withColumn("_href", canonical_href(F.col(html)))
+    step = step.withColumn("_target", F.when(F.col("_href").isNotNull(), urls.resolve_url(F.col(final_url), F.col("_href"))))
+    step = step.withColumn("_self", F.when(urls.is_web(F.col("_target")), F.col("_target")).otherwise(F.col(final_url)))
+    return step.withColumn("canonical", urls.canonical_url(F.col("_self"))).drop("_href", "_target", "_self")
 
 
 def page_features(pages: DataFrame) -> DataFrame:
     """Parse every page once: text, elements, structured data, titles. Cache this, not the HTML."""
     pages = with_page_defaults(pages)
-    parsed = pages.withColumn("_outline", outline("raw_html", "final_url"))
+    parsed = with_canonical(pages).withColumn("_outline", outline("raw_html", "final_url"))
     return parsed.select(
-        *[c for c in pages.columns if c not in ("raw_html", "html")],
+        *[c for c in pages.columns if c not in ("raw_html", "html", "canonical")],
         F.col("_outline.text").alias("text"),
         F.coalesce("_outline.nodes", F.array()).alias("nodes"),
         jsonld_scripts(F.col("raw_html")).alias("jsonld"),
         title_tag(F.col("raw_html")).alias("page_title"),
         meta_property(F.col("raw_html"), "og:title").alias("og_title"),
         meta_property(F.col("raw_html"), "og:site_name").alias("og_site"),
-        page_canonical(F.col("raw_html"), F.col("final_url")).alias("canonical"),
+        "canonical",
         F.regexp_replace(_unread_removed(F.col("raw_html")), r"<[^>]*>", " ")
         .rlike(tx.rx(r"\bstartup\b|\bentrepreneur")).alias("mentions_startup"),
     )
