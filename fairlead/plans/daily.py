@@ -10,6 +10,7 @@ from fairlead.operators import (
     search as sr,
 )
 from fairlead.plans import evaluate as ev
+from fairlead.session import cut_lineage
 from fairlead.sources import sinks
 
 STATE_FIELDS = list(hs.MEANINGFUL_FIELDS)
@@ -42,6 +43,7 @@ def discovery_run(sources: DataFrame, features: DataFrame, pairs_of: DataFrame,
     wanted = ds.specific_urls(candidates, "run_id")
     loaded = features.withColumn("_at", urls.canonical_url(F.col("final_url")))
     opps, rejects = fx.extract(loaded.join(wanted.select(F.col("url").alias("_at")).distinct(), "_at", "left_semi").drop("_at"))
+    opps = cut_lineage(opps)
     pairs = wanted.join(pairs_of, "run_id").select(
         "profile_id", F.sha2(F.col("url"), 256).alias("opportunity_key")
     ).distinct()
@@ -74,10 +76,11 @@ def search_run(profiles: DataFrame, recorded: DataFrame, features: DataFrame, as
     scored = sr.score_hits(hits.withColumn("seq", arrival).withColumnRenamed("mode", "query_mode"))
     capped = sr.arrival_cap(scored.where(F.col("search_score") >= 0), "profile_id", "canonical", "seq", cap)
     candidates, provenance = sr.merge_hits(capped, ["profile_id", "canonical"])
-    chosen = sr.fetch_list(candidates, "profile_id", fetch_cap)
+    chosen = cut_lineage(sr.fetch_list(candidates, "profile_id", fetch_cap))
     loaded = features.withColumn("canonical", urls.canonical_url(F.col("final_url")))
     wanted = loaded.join(chosen.select("canonical").distinct(), "canonical", "left_semi")
     opps, rejects = fx.extract(wanted)
+    opps = cut_lineage(opps)
     pairs = chosen.select("profile_id", F.sha2("canonical", 256).alias("opportunity_key"))
     result = ev.evaluate(opps, pairs, profiles, as_of, assessor)
     refused = rejects.withColumn("canonical", urls.canonical_url(F.col("url")))
