@@ -54,9 +54,3 @@ def test_search_run_to_outbox(spark):
     run = daily.search_run(profiles, recorded, features, F.to_date(seen), seen)
     shapes = {r.canonical.rsplit("/", 1)[1]: (r.page_shape, r.proceeded_to_extraction) for r in run["candidates"].collect()}
     assert shapes == {"f": ("specific_opportunity", True), "list": ("multi_opportunity_listing", False), "lost": (None, None)}
-    assert {r.change_class for r in run["tracked"].collect()} == {"new"}
-    items = daily.merge_items(run)
-    ledger = spark.createDataFrame([], "item_id string, fingerprint string, notification_type string, delivery_status string")
-    day = daily.daily_cycle(items, ledger, profiles.select("profile_id"))
-    assert day["summary"].first().new_opportunities == 1
-    assert day["outbox"].count() + day["heartbeats"].count() == 1
