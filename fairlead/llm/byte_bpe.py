@@ -19,12 +19,14 @@ import regex
 import sentencepiece
 from pyspark.sql import DataFrame
 
+from fairlead.llm.common import Recent
+
 #: Byte b is written as the character BASE + b; no such character is white space or sentencepiece's own mark.
 BASE = 0x100
 #: Unicode White_Space, as the tokenizer's pattern language understands ``\s``.
 SPACE = r"\t-\r " + "".join(map(chr, (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
-#: Remembered chunks before a worker starts afresh.
-ROOM = 400_000
+#: Remembered chunks in each of two generations, and rows handled at once.
+ROOM, ROWS = 100_000, 256
 
 
 def read_ranks(path: str) -> list[bytes]:
@@ -78,14 +80,13 @@ class Codec:
     """
 
     def __init__(self, pieces: list[bytes], pattern: str, room: int = ROOM):
-        self.pieces, self.room = pieces, room
+        self.pieces, self.recent = pieces, Recent(self._learn, room)
         self.model = sentencepiece.SentencePieceProcessor(model_proto=model_bytes(pieces))
         self.pattern = regex.compile(pattern.replace(r"[^\s", f"[^{SPACE}").replace(r"\s", f"[{SPACE}]").replace(r"\S", f"[^{SPACE}]"))
         self.run = regex.compile(f"[{SPACE}][{SPACE}]")
         self.cut = regex.compile(f"[{SPACE}]+[^{SPACE}]*|[^{SPACE}]+")
         self.whole = {p: i for i, p in enumerate(pieces)}
         self.table = [chr(BASE + b) for b in range(256)]
-        self.known: dict[str, tuple[int, ...]] = {}
 
     def _chunks(self, text: str) -> list[str]:
         if self.run.search(text):
@@ -93,33 +94,22 @@ class Codec:
         parts = text.replace("\n", " \n").split(" ")
         return [parts[0], *[p if p[:1] == "\n" else " " + p for p in parts[1:]]]
 
-    def _learn(self, chunks: Iterable[str]) -> None:
-        chunks = list(chunks)
+    def _learn(self, chunks: list[str]) -> list[bytes]:
+        """The ids of each chunk as the bytes of 32-bit numbers."""
         tokens = [self.pattern.findall(c) for c in chunks]
-        wanted = {t: None for row in tokens for t in row}
+        wanted = list({t: None for row in tokens for t in row})
         raw = [t.encode() for t in wanted]
         split = [i for i, b in enumerate(raw) if b not in self.whole]
-        ids = [(self.whole.get(b, -1),) for b in raw]
+        ids = [struct.pack("<i", self.whole.get(b, -1)) for b in raw]
         mapped = ["".join([self.table[x] for x in raw[i]]) for i in split]
         for i, found in zip(split, self.model.encode(mapped, out_type=int, num_threads=1) if mapped else [], strict=True):
-            ids[i] = tuple([x - 1 for x in found])
+            ids[i] = (np.array(found, "<i4") - 1).tobytes()
         each = dict(zip(wanted, ids, strict=True))
-        for chunk, row in zip(chunks, tokens, strict=True):
-            self.known[chunk] = tuple([x for t in row for x in each[t]])
-
-    def encode_batch(self, texts: list[str]) -> Iterator[np.ndarray]:
-        for text in texts:
-            chunks = self._chunks(text) if text else []
-            known = self.known
-            if len(known) > self.room:
-                known.clear()
-            new = {c for c in chunks if c not in known}
-            if new:
-                self._learn(new)
-            ids: list[int] = []
-            for found in map(known.__getitem__, chunks):
-                ids += found
-            yield np.array(ids, np.int32)
+        return [b"".join([each[t] for t in row]) for row in tokens]
+
+    def encode(self, text: str) -> np.ndarray:
+        chunks = self._chunks(text) if text else []
+        return np.frombuffer(b"".join(map(self.recent.lookup(chunks), chunks)), "<i4")
 
     def decode(self, ids: Iterable[int]) -> bytes:
         return b"".join(map(self.pieces.__getitem__, ids))
@@ -136,21 +126,23 @@ def _codec(pieces: list[bytes], pattern: str) -> Codec:
     return _made[key]
 
 
-def encode(docs: DataFrame, rank_file: str, pattern: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``keep`` columns and ``ids array<int>``, the ids of the whole text in order."""
+def encode(docs: DataFrame, rank_file: str, pattern: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",), round_trip: bool = False) -> DataFrame:
+    """``keep`` columns and ``ids array<int>``, the ids of the whole text in order; with ``round_trip`` also ``decoded binary``."""
     pieces = read_ranks(rank_file)
     source = docs.select(*keep, docs[text].alias("_text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1]) + ", ids array<int>"
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1]) + ", ids array<int>" + ", decoded binary" * round_trip
 
     def body(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(pieces, pattern)
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
-                found = list(codec.encode_batch(part.column(part.num_columns - 1).fill_null("").to_pylist()))
+            for at in range(0, batch.num_rows, ROWS):
+                part = batch.slice(at, ROWS)
+                found = [codec.encode(t or "") for t in part.column(part.num_columns - 1).to_pylist()]
                 ends = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found) if found else np.zeros(0, np.int32)))
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], lists], names=[*keep, "ids"])
+                columns = [*part.columns[:-1], pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found)))]
+                if round_trip:
+                    columns.append(pa.array([codec.decode(x.tolist()) for x in found], pa.binary()))
+                yield pa.RecordBatch.from_arrays(columns, names=[*keep, "ids", *["decoded"] * round_trip])
 
     return source.mapInArrow(body, schema)
 
@@ -166,8 +158,8 @@ def decode(encoded: DataFrame, rank_file: str, ids: str = "ids") -> DataFrame:
     def body(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         piece = pieces.__getitem__
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
+            for at in range(0, batch.num_rows, ROWS):
+                part = batch.slice(at, ROWS)
                 column = part.column(at_ids)
                 values, offsets = column.values.to_numpy(zero_copy_only=False).tolist(), column.offsets.to_pylist()
                 decoded = [b"".join(map(piece, values[a:b])) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]

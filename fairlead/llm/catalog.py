@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fairlead.llm import byte_bpe, fingerprints, host_reputation, inner_topk, language, main_text, packing, toxicity
+from fairlead.llm import byte_bpe, fingerprints, host_reputation, inner_topk, jaccard, language, main_text, packing, toxicity
 from fairlead.llm.common import table
 
 QUERIES: dict = {}
@@ -72,7 +72,7 @@ def op5_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_byte_bpe")
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    decoded = byte_bpe.decode(byte_bpe.encode(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN), ranks)
+    decoded = byte_bpe.encode(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN, round_trip=True)
     return decoded.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
@@ -95,6 +95,11 @@ def op7_minhash_prints(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op8_ngram_join")
+def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.groups(table(spark, sf_dir, "documents"))
+
+
 TOXIC_FROM = 0.3
 
 

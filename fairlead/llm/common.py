@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable
 
 import numpy as np
 import pyarrow as pa
@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from fairlead.session import cut_lineage
 
-__all__ = ["cut_lineage", "let", "map_batches", "one_per_id", "table", "text_buffer"]
+__all__ = ["Recent", "cut_lineage", "let", "one_per_id", "table", "text_buffer"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,10 +29,6 @@ def one_per_id(df: DataFrame, key: str, *order: str) -> DataFrame:
     return df.where(F.col(key).isNotNull()).withColumn("_nth", F.row_number().over(first)).where("_nth = 1").drop("_nth")
 
 
-def map_batches(df: DataFrame, body: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    return df.mapInArrow(body, schema)
-
-
 def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of a string column (null: empty) and the n + 1 offsets of its values."""
     column = column.fill_null("").cast(pa.large_utf8())
@@ -40,3 +36,26 @@ def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     data = column.buffers()[2]
     whole = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
     return whole[offsets[0] : offsets[-1]] if len(offsets) else whole[:0], offsets - offsets[0] if len(offsets) else np.zeros(1, np.int64)
+
+
+class Recent:
+    """Answers for words seen lately, in two generations of ``room`` words each, so that frequent words stay and memory is bounded."""
+
+    def __init__(self, learn: Callable[[list], Iterable], room: int):
+        self.learn, self.room = learn, room
+        self.young: dict = {}
+        self.old: dict = {}
+
+    def lookup(self, words: Iterable) -> Callable:
+        """A function that answers each of ``words``."""
+        if len(self.young) > self.room:
+            self.young, self.old = {}, self.young
+        new = set(words).difference(self.young)
+        if new:
+            for w in new.intersection(self.old):
+                self.young[w] = self.old[w]
+                new.discard(w)
+            if new:
+                wanted = list(new)
+                self.young.update(zip(wanted, self.learn(wanted), strict=True))
+        return self.young.__getitem__

@@ -25,8 +25,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fairlead.llm.common import Recent
+
 #: Labelled rows of each label to fit on at most; features kept at most, strongest first; remembered words.
-SAMPLE, FEATURES, ROOM = 4000, 20_000, 400_000
+SAMPLE, FEATURES, ROOM = 4000, 20_000, 150_000
 #: Costs (nats): a sign as a letter, a sign as nothing, a repeated letter as one.
 SIGN, DROPPED, REPEATED = 1.0, 2.5, 1.0
 # Letters that leetspeak signs stand for.
@@ -203,23 +205,17 @@ def score(docs: DataFrame, model: tuple[np.ndarray, dict[str, float], float], te
     at_text = [f.name for f in kept].index(text)
 
     def body(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        restorer, known = Restorer(costs), {}
+        restorer = Restorer(costs)
 
-        def told(token: str) -> tuple[str, ...]:
-            return tuple([f for r in restorer.readings(token) for f in features_of(r) if f in weights])
+        def told(tokens: list[str]) -> list[tuple[str, ...]]:
+            return [tuple([f for r in restorer.readings(t) for f in features_of(r) if f in weights]) for t in tokens]
 
+        recent = Recent(told, ROOM)
         for batch in batches:
             scores = []
             for value in batch.column(at_text):
-                if len(known) > ROOM:
-                    known.clear()
-                fired: set[str] = set()
-                for token in tokens_of(value.as_py() or ""):
-                    found = known.get(token)
-                    if found is None:
-                        found = known[token] = told(token)
-                    if found:
-                        fired.update(found)
+                tokens = tokens_of(value.as_py() or "")
+                fired = {f for found in map(recent.lookup(tokens), tokens) if found for f in found}
                 z = bias + sum([weights[f] for f in sorted(fired)])
                 scores.append(float(1 / (1 + np.exp(-min(30.0, max(-30.0, z))))))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], names=[*[f.name for f in kept], "score"])
