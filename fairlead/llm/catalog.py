@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fairlead.llm import byte_bpe, fingerprints, host_reputation, inner_topk, jaccard, language, main_text, packing, toxicity
+from fairlead.llm import byte_bpe, fingerprints, host_reputation, inner_topk, jaccard, language, main_text, packing, repeats, toxicity
 from fairlead.llm.common import table
 
 QUERIES: dict = {}
@@ -64,6 +64,16 @@ def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predict(docs.select("doc_id", "text"), model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+@query("op4_repeats")
+def op4_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = repeats.remove(table(spark, sf_dir, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["stop"] - s["start"])
+    return cut.select(
+        "doc_id", (F.octet_length("rest") + removed).cast("long").alias("n_bytes"), removed.alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"), F.sha2("rest", 256).alias("kept_sha256"),
+    )
+
+
 @query("op5_main_text")
 def op5_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return main_text.extract(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
