@@ -11,13 +11,20 @@ from pyspark.sql import functions as F
 
 from fairlead.session import cut_lineage
 
-__all__ = ["Recent", "cut_lineage", "let", "one_per_id", "table", "text_buffer"]
+__all__ = ["Recent", "cut_lineage", "let", "one_per_id", "shared_folder", "table", "text_buffer"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of checkpoints, which every executor can reach."""
+    if spark.sparkContext.getCheckpointDir() is None:
+        cut_lineage(spark.range(1))
+    return spark.sparkContext.getCheckpointDir()
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """Bind ``value`` once and use it many times; the optimiser cannot copy it into the uses."""
     return F.transform(F.array(value), body)[0]
@@ -52,10 +59,9 @@ class Recent:
             self.young, self.old = {}, self.young
         new = set(words).difference(self.young)
         if new:
-            for w in new.intersection(self.old):
-                self.young[w] = self.old[w]
-                new.discard(w)
-            if new:
-                wanted = list(new)
+            again = [w for w in new if w in self.old]
+            self.young.update(zip(again, map(self.old.__getitem__, again), strict=True))
+            wanted = list(new.difference(again))
+            if wanted:
                 self.young.update(zip(wanted, self.learn(wanted), strict=True))
         return self.young.__getitem__

@@ -14,7 +14,8 @@ def components(edges: DataFrame) -> DataFrame:
     Each round takes the smallest label among neighbours and then jumps to that label's own label, until nothing changes. State
     is checkpointed each round; hot nodes are only the many-rows side of joins and grouped minima, which combine map-side.
     """
-    both = cut_lineage(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct())
+    ends = F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e")
+    both = cut_lineage(edges.where("a <> b").select(ends).select("e.a", "e.b").distinct())
     state = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("label")).select("node", F.least("node", "label").alias("label"), F.lit(True).alias("moved"))
     state = cut_lineage(state)
     while not state.where("moved").isEmpty():

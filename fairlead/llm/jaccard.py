@@ -4,7 +4,7 @@ Equal sets are one node, so copies cost one row each. The global n-gram order pu
 counts over all documents is light, heavy cells (shared passages) last. A pair that reaches the threshold shares an n-gram among
 the first ones of both (prefix filter). Each such n-gram names a hub, its smallest node, and all nodes of one hub meet in one
 group: every pair that can link meets, and no pair is written out. A group larger than ``BLOCK`` is split into a grid of
-blocks. Inside a group the order is cut into fragments (vertical partitions): partial overlaps of a fragment are counted for all
+blocks. A small sketch of each set first drops members that certainly link with none of their group. Then the order is cut into fragments (vertical partitions): partial overlaps of a fragment are counted for all
 pairs at once as a matrix product, summed per pair, and a pair is given up once what is left cannot reach the threshold. Each
 group returns only links that join parts not yet joined by it, which keeps the components of all links exactly.
 
@@ -36,8 +36,9 @@ def _cells(words: int):
     def body(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << CELL_BITS, np.int64)
         for batch in batches:
-            for s in document_sets(batch.column(0), words):
-                np.add.at(total, (s >> np.uint64(64 - CELL_BITS)).astype(np.int64), 1)
+            for at in range(0, batch.num_rows, 500):
+                grams = np.concatenate([*document_sets(batch.column(0).slice(at, 500), words)])
+                total += np.bincount((grams >> np.uint64(64 - CELL_BITS)).astype(np.int64), minlength=len(total))
         parts = total.reshape(-1, 1 << _PART_BITS)
         yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], names=["part", "counts"])
 
@@ -72,12 +73,26 @@ def prefix_of(hashes: np.ndarray, levels: np.ndarray, percent: int = PERCENT) ->
     return hashes[np.argsort(level, kind="stable")[:size]]
 
 
+def sketch_of(hashes: np.ndarray) -> bytes:
+    """Parities of the set's hashes in at least twice as many cells as members; half as many cells are the exclusive or of both halves."""
+    cells = 1 << max(6, (2 * len(hashes) - 1).bit_length())
+    return np.packbits(np.bincount((hashes & np.uint64(cells - 1)).astype(np.int64), minlength=cells).astype(np.uint8) & 1).tobytes()
+
+
 def _named(words: int):
     def body(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
-            sets = [(len(s), set_id(s)) for s in document_sets(batch.column(1), words)]
-            n, node = zip(*sets, strict=True) if sets else ((), ())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(node, pa.int64())], names=["doc_id", "n", "node"])
+            n, nodes, sketches = [], [], []
+            for s in document_sets(batch.column(1), words):
+                n.append(len(s))
+                nodes.append(set_id(s))
+                new = len(s) and nodes[-1] not in seen  # a copy within the task needs no second sketch
+                sketches.append(sketch_of(s) if new else None)
+                if new:
+                    seen.add(nodes[-1])
+            columns = [pa.array(n, pa.int64()), pa.array(nodes, pa.int64()), pa.array(sketches, pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["doc_id", "n", "node", "sketch"])
 
     return body
 
@@ -180,6 +195,56 @@ def linking(left: list[np.ndarray], right: list[np.ndarray] | None, percent: int
     return found
 
 
+def possible(sizes: np.ndarray, sketches: list[bytes], right: np.ndarray | None, percent: int = PERCENT) -> np.ndarray:
+    """Which members may link with another one (``right`` tells the two sides apart; None: one side).
+
+    Two sets differ in at least as many members as their parities do, and linking ones differ in few. Members run by size, so
+    only partners of a fitting size meet, and each stretch of sizes is compared at the width of its smallest sketch.
+    """
+    order = np.argsort(sizes, kind="stable")
+    size = sizes[order].astype(np.int64)
+    found = np.zeros(len(size), bool)
+    start = 0
+    while start < len(size):
+        stop = min(start + ROWS, int(np.searchsorted(size, 2 * size[start], "left")), len(size))
+        stop = max(stop, start + 1)
+        end = int(np.searchsorted(size, 100 * size[stop - 1] // percent, "right"))
+        width = len(sketches[order[start]])
+
+        def parities(lo: int, hi: int) -> np.ndarray:
+            out = np.empty((hi - lo, width), np.uint8)
+            for k in range(lo, hi):
+                out[k - lo] = np.bitwise_xor.reduce(np.frombuffer(sketches[order[k]], np.uint8).reshape(-1, width), axis=0)
+            return 1 - 2 * np.unpackbits(out, axis=1).astype(np.float32)
+
+        rows = parities(start, stop)
+        for lo in range(start, end, ROWS):
+            hi = min(lo + ROWS, end)
+            differ = (8 * width - rows @ (rows if (lo, hi) == (start, stop) else parities(lo, hi)).T) / 2
+            total = size[start:stop, None] + size[None, lo:hi]
+            fits = (100 + percent) * differ <= (100 - percent) * total
+            fits &= np.arange(start, stop)[:, None] < np.arange(lo, hi)[None]
+            if right is not None:
+                fits &= right[order[start:stop], None] != right[order[lo:hi]][None]
+            found[start:stop] |= fits.any(1)
+            found[lo:hi] |= fits.any(0)
+        start = stop
+    out = np.zeros(len(size), bool)
+    out[order] = found
+    return out
+
+
+def _sift(percent: int):
+    def body(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        x, y = key[1], key[2]
+        rows = rows.sort_values("node").reset_index(drop=True)
+        right = None if x == y else (rows["part"] == y).to_numpy()
+        may = possible(rows["n"].to_numpy(), rows["sketch"].tolist(), right, percent)
+        return rows.loc[may, ["hub", "x", "y", "part", "node"]]
+
+    return body
+
+
 def _verify(words: int, percent: int):
     def body(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         x, y = key[1], key[2]
@@ -187,14 +252,14 @@ def _verify(words: int, percent: int):
         parts = [rows[rows["part"] == x]] + ([rows[rows["part"] == y]] if y != x else [])
         sets = [list(document_sets(pa.array(p["text"], pa.string()), words)) for p in parts]
         names = np.concatenate([p["node"].to_numpy() for p in parts])
-        links = linking(sets[0], sets[1] if len(sets) > 1 else None, percent)
-        return pd.DataFrame({"a": names[[i for i, _ in links]] if links else [], "b": names[[j for _, j in links]] if links else []}, dtype="int64")
+        found = np.array(linking(sets[0], sets[1] if len(sets) > 1 else None, percent), np.int64).reshape(-1, 2)
+        return pd.DataFrame({"a": names[found[:, 0]], "b": names[found[:, 1]]})
 
     return body
 
 
-def links(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
-    """``a, b``: links between nodes that make up the components of all links. ``docs``: doc_id, text."""
+def links(docs: DataFrame, named: DataFrame, words: int = WORDS, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
+    """``a, b``: links between nodes that make up the components of all links. ``docs``: doc_id, text; ``named``: node, n, sketch."""
     levels = order_of(docs, words)
     grams = docs.select("text").mapInArrow(_prefixes(words, levels, percent), "gram long, node long")
     over = Window.partitionBy("gram")
@@ -206,16 +271,18 @@ def links(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, block: in
     # a node meets its own block and every other block once
     meets = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     placed = placed.select("hub", "node", "part", meets).select("hub", "node", "part", F.least("part", "other").alias("x"), F.greatest("part", "other").alias("y"))
+    sketches = named.where("sketch IS NOT NULL").groupBy("node").agg(F.max("n").alias("n"), F.max("sketch").alias("sketch"))
+    likely = placed.join(sketches, "node").groupBy("hub", "x", "y").applyInPandas(_sift(percent), "hub long, x int, y int, part int, node long")
     texts = docs.select("text").mapInArrow(_node_texts(words), "node long, text string")
-    grouped = placed.join(texts, "node").groupBy("hub", "x", "y")
-    return grouped.applyInPandas(_verify(words, percent), "a long, b long").where("a <> b").distinct()
+    checked = cut_lineage(likely).join(texts, "node").groupBy("hub", "x", "y").applyInPandas(_verify(words, percent), "a long, b long")
+    return checked.where("a <> b").distinct()
 
 
 def groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id, n_shingles, component_id``; the component is the smallest id reachable by links. One row for each input row."""
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    named = cut_lineage(docs.mapInArrow(_named(words), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n long, node long"))
-    labels = components(links(docs, words, percent))
+    named = cut_lineage(docs.mapInArrow(_named(words), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n long, node long, sketch binary"))
+    labels = components(links(docs, named, words, percent))
     first = named.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("first"))
     joined = first.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     smallest = joined.groupBy("component").agg(F.min("first").alias("component_id"))

@@ -157,11 +157,11 @@ def learn(docs: DataFrame, label: Column, key: str = "doc_id", text: str = "text
     return names, idf, w, bias
 
 
-def predict(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray, np.ndarray], text: str = "text") -> DataFrame:
-    """``docs`` with ``lang_pred string, score double``."""
+def predict(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray, np.ndarray], text: str = "text", out: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """``docs`` with the columns ``out``: language (string) and score (double), in place of columns of those names."""
     names, idf, w, bias = model
     idf, w = idf.astype(np.float32), w.astype(np.float32)
-    kept = [f for f in docs.schema.fields if f.name not in ("lang_pred", "score")]
+    kept = [f for f in docs.schema.fields if f.name not in out]
     at_text = [f.name for f in kept].index(text)
 
     def body(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -176,7 +176,7 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray, np.
                 p = _softmax(weighted(found, counts, idf) @ w[found] + bias)
                 preds.append(names[int(p.argmax())])
                 scores.append(float(p.max()))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(preds, pa.string()), pa.array(scores, pa.float64())], names=[*[f.name for f in kept], "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(preds, pa.string()), pa.array(scores, pa.float64())], names=[*[f.name for f in kept], *out])
 
-    schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in kept], "lang_pred string", "score double"])
+    schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in kept], f"`{out[0]}` string, `{out[1]}` double"])
     return docs.select(*[f"`{f.name}`" for f in kept]).mapInArrow(body, schema)

@@ -248,7 +248,7 @@ def _settle(table: pa.Table) -> pa.Table:
     return _rows(MASKS, list(zip(table["block"].to_pylist(), table["bucket"].to_pylist(), packed, strict=True)))
 
 
-def _cut(buckets: int, kept: list[str]):
+def _cut(buckets: int, kept: list[str], as_text: bool):
     def body(table: pa.Table, replies: pa.Table) -> pa.Table:
         block = Block(table, buckets)
         e, flags = block.entries, block.answered(replies)
@@ -284,14 +284,21 @@ def _cut(buckets: int, kept: list[str]):
         whole_left = pa.py_buffer(block.data[~removed].tobytes())
         cuts = pa.py_buffer(left[block.offsets].astype(np.int64))
         rest = pa.Array.from_buffers(pa.large_binary(), len(block.docs), [None, cuts, whole_left]).cast(pa.binary())
+        if as_text:  # a character that has lost some of its bytes goes as a whole
+            rest = pa.array([r.decode("utf-8", "ignore") for r in rest.to_pylist()], pa.string())
         return pa.table([*out, rest, pa.ListArray.from_arrays(pa.array(row.astype(np.int32)), spans)], names=[*kept, "rest", "spans"])
 
     return body
 
 
-def remove(docs: DataFrame, keep: tuple[str, ...] = (), text: str = "text") -> DataFrame:
-    """``doc_id, *keep, n_bytes, rest binary, spans array<struct<start, stop>>`` of every document; spans are positions of removed bytes."""
-    source = docs.where("doc_id IS NOT NULL").select("doc_id", *keep, F.col(text).alias("text"))
+def remove(docs: DataFrame, keep: tuple[str, ...] = (), text: str = "text", as_text: bool = False) -> DataFrame:
+    """``doc_id, *keep, rest, spans array<struct<start, stop>>`` of every document; spans are the positions of removed bytes.
+
+    ``rest`` is binary, or with ``as_text`` a string of the characters that kept all of their bytes.
+    """
+    keep = tuple(c for c in keep if c not in ("doc_id", "rest", "spans"))
+    named = {c: f"_{i}" for i, c in enumerate(keep)}  # names of other columns cannot clash
+    source = docs.where("doc_id IS NOT NULL").select("doc_id", *[F.col(f"`{c}`").alias(n) for c, n in named.items()], F.col(text).alias("text"))
     total = source.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     blocks = max(1, -(-total // BLOCK))
     placed = source.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int")).repartition(blocks, "block")
@@ -301,6 +308,8 @@ def remove(docs: DataFrame, keep: tuple[str, ...] = (), text: str = "text") -> D
     partly = lean.groupBy("block").cogroup(flags.groupBy("block")).applyInArrow(_partly(blocks), BYTES)
     masks = partly.groupBy("bucket").applyInArrow(_settle, MASKS).where("masks IS NOT NULL")
     replies = flags.join(masks, ["block", "bucket"], "left")
-    kept = ["doc_id", *keep]
+    kept = ["doc_id", *named.values()]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields if f.name in kept)
-    return placed.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(_cut(blocks, kept), f"{schema}, rest binary, spans array<struct<start: long, stop: long>>")
+    schema = f"{schema}, rest {'string' if as_text else 'binary'}, spans array<struct<start: long, stop: long>>"
+    cut = placed.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(_cut(blocks, kept, as_text), schema)
+    return cut.select("doc_id", *[F.col(n).alias(c) for c, n in named.items()], "rest", "spans")

@@ -198,10 +198,10 @@ def learn_from(docs: DataFrame, labels: DataFrame, text: str = "text", sample: i
     return costs, weights, weights.pop("")
 
 
-def score(docs: DataFrame, model: tuple[np.ndarray, dict[str, float], float], text: str = "text") -> DataFrame:
-    """``docs`` with ``score double``, 0 to 1; map-only."""
+def score(docs: DataFrame, model: tuple[np.ndarray, dict[str, float], float], text: str = "text", out: str = "score") -> DataFrame:
+    """``docs`` with ``out`` double, 0 to 1, in place of a column of that name; map-only."""
     costs, weights, bias = model
-    kept = [f for f in docs.schema.fields if f.name != "score"]
+    kept = [f for f in docs.schema.fields if f.name != out]
     at_text = [f.name for f in kept].index(text)
 
     def body(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -218,7 +218,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, dict[str, float], float], te
                 fired = {f for found in map(recent.lookup(tokens), tokens) if found for f in found}
                 z = bias + sum([weights[f] for f in sorted(fired)])
                 scores.append(float(1 / (1 + np.exp(-min(30.0, max(-30.0, z))))))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], names=[*[f.name for f in kept], "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], names=[*[f.name for f in kept], out])
 
-    schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in kept], "score double"])
+    schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in kept], f"`{out}` double"])
     return docs.select(*[f"`{f.name}`" for f in kept]).mapInArrow(body, schema)
