@@ -4,7 +4,7 @@ Pages whose outcome is known (a rule decides them, or the caller labels them) ar
 distributed; the prior of a host is its registered domain, that of a domain its suffix, that of a suffix the whole table. Each
 level's prior strength is estimated from all of its children by the method of moments, so a host with few labelled pages stays
 near its domain and one with many speaks for itself. A page is blocked if even the lower posterior bound of its host's bad rate
-passes the threshold; a host without any evidence is thus allowed.
+passes the threshold; doubt about a prior counts, so a host without evidence of its own is judged by what is sure of its kind.
 
 Null URLs and URLs without ``://`` have an empty host and path, fit no rule and have only the prior of the table. Only sums per
 host are shuffled; pages meet their host's verdict in a join that Spark broadcasts or splits by size.
@@ -52,10 +52,9 @@ def reputation(outcomes: DataFrame) -> DataFrame:
     totals = lambda df, *keys: df.groupBy(*keys).agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     domains = totals(hosts, "domain", "suffix")  # a domain has one suffix
     suffixes = totals(domains, "suffix")
-    root = suffixes.agg(((F.coalesce(F.sum("bad"), F.lit(0)) + 1) / (F.coalesce(F.sum("n"), F.lit(0)) + ROOT)).alias("prior"))
-
-    def posterior(children: DataFrame, *keys: str) -> DataFrame:
-        return children.select(*keys, "n", "strength", ((F.col("bad") + F.col("prior") * F.col("strength")) / (F.col("n") + F.col("strength"))).alias("mean"))
+    n, bad = (F.coalesce(F.sum(c), F.lit(0)) for c in ("n", "bad"))
+    rate = (bad + 1) / (n + ROOT)
+    root = suffixes.agg(F.struct(rate.alias("prior"), (rate * (1 - rate) / (n + ROOT + 1)).alias("doubt"))).scalar()
 
     def with_strength(children: DataFrame) -> DataFrame:
         # moments over all children of a level: var = m (1 - m) / (strength + 1), beside the sampling noise of each child
@@ -67,11 +66,20 @@ def reputation(outcomes: DataFrame) -> DataFrame:
         fitted = F.when(F.col("between") > 0, F.greatest(F.lit(WEAKEST), F.least(F.lit(STRONGEST), F.col("most") / F.col("between") - 1))).otherwise(STRONGEST)
         return children.withColumn("strength", moments.select(F.round(F.coalesce(fitted, F.lit(STRONGEST)), 9)).scalar())
 
-    at_suffix = posterior(with_strength(suffixes.withColumn("prior", root.scalar())), "suffix")
-    at_domain = posterior(with_strength(domains.join(at_suffix.select("suffix", F.col("mean").alias("prior")), "suffix")), "domain", "suffix")
-    at_host = posterior(with_strength(hosts.join(at_domain.select("domain", F.col("mean").alias("prior")), "domain")), "host")
-    total = F.col("n") + F.col("strength")
-    return at_host.select("host", (F.col("mean") - DEVIATIONS * F.sqrt(F.col("mean") * (1 - F.col("mean")) / (total + 1))).alias("bound"))
+    def posterior(children: DataFrame, *keys: str) -> DataFrame:
+        # a child's doubt is its own posterior variance and as much of its parent's as its mean hangs on
+        total = F.col("n") + F.col("strength")
+        means = with_strength(children).withColumn("mean", (F.col("bad") + F.col("prior") * F.col("strength")) / total)
+        doubt = F.col("mean") * (1 - F.col("mean")) / (total + 1) + F.pow(F.col("strength") / total, 2) * F.col("doubt")
+        return means.select(*keys, "mean", doubt.alias("doubt"))
+
+    def under(children: DataFrame, parents: DataFrame, key: str) -> DataFrame:
+        return children.join(parents.select(key, F.col("mean").alias("prior"), "doubt"), key)
+
+    at_suffix = posterior(suffixes.withColumn("root", root).select("suffix", "n", "bad", "root.prior", "root.doubt"), "suffix")
+    at_domain = posterior(under(domains, at_suffix, "suffix"), "domain")
+    at_host = posterior(under(hosts, at_domain, "domain"), "host")
+    return at_host.select("host", (F.col("mean") - DEVIATIONS * F.sqrt("doubt")).alias("bound"))
 
 
 def judge(pages: DataFrame, rules: list[tuple[str, str]], url: str = "url", label: Column | None = None) -> DataFrame:

@@ -278,11 +278,11 @@ def links(docs: DataFrame, named: DataFrame, words: int = WORDS, percent: int =
     return checked.where("a <> b").distinct()
 
 
-def groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, block: int = BLOCK, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id, n_shingles, component_id``; the component is the smallest id reachable by links. One row for each input row."""
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     named = cut_lineage(docs.mapInArrow(_named(words), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n long, node long, sketch binary"))
-    labels = components(links(docs, named, words, percent))
+    labels = components(links(docs, named, words, percent, block))
     first = named.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("first"))
     joined = first.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     smallest = joined.groupBy("component").agg(F.min("first").alias("component_id"))

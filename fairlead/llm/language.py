@@ -150,6 +150,8 @@ def learn(docs: DataFrame, label: Column, key: str = "doc_id", text: str = "text
     chosen = labelled.select(place.alias("order"), "label", "text").where(F.col("order") < F.element_at(share, F.col("label")))
     features = chosen.mapInArrow(_features, "order double, label string, buckets binary, counts binary")
     model = features.repartition(1).mapInPandas(_trainer(names, idf), "bucket int, w array<double>").toPandas()
+    if not len(model):
+        return names, idf, w, bias
     rows = np.array(model["w"].tolist())
     at = model["bucket"].to_numpy()
     w[at[at >= 0]] = rows[at >= 0]

@@ -195,7 +195,7 @@ def learn_from(docs: DataFrame, labels: DataFrame, text: str = "text", sample: i
     chosen = docs.select("doc_id", F.col(text).alias("text")).join(F.broadcast(drawn), "doc_id")  # at most about 2 * sample narrow rows
     model = chosen.select("order", "toxic", "text").repartition(1).mapInPandas(_trainer(costs, share), "feature string, w double").toPandas()
     weights = dict(zip(model["feature"], model["w"], strict=True))
-    return costs, weights, weights.pop("")
+    return costs, weights, weights.pop("", float(np.log(share / (1 - share))))  # no labelled row may have a text
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, dict[str, float], float], text: str = "text", out: str = "score") -> DataFrame:
