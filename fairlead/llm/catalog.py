@@ -46,7 +46,45 @@ def op1_inner_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 RULES = [("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block")]
 
 
-@query("op2_host_reputation")
+def _reputation_sql() -> str:
+    """The same posterior, level by level."""
+
+    def level(name: str, children: str, prior: str, doubt: str, keys: str) -> str:
+        return f"""
+    {name}_c AS (SELECT {keys}, n, bad, {prior} AS prior, {doubt} AS doubt FROM {children}),
+    {name}_m AS (
+      SELECT sum(power(bad / n - prior, 2) - prior * (1 - prior) / n) FILTER (WHERE n > 0) AS spread,
+        sum(prior * (1 - prior) * (1 - 1 / n)) FILTER (WHERE n > 0) AS most FROM {name}_c),
+    {name}_s AS (SELECT round(CASE WHEN spread > 0 THEN greatest(1.0, least(1000.0, most / spread - 1)) ELSE 1000.0 END, 9) AS s FROM {name}_m),
+    {name}_p AS (SELECT *, (bad + prior * s) / (n + s) AS mean, n + s AS total FROM {name}_c, {name}_s),
+    {name} AS (SELECT *, mean * (1 - mean) / (total + 1) + power(s / total, 2) * doubt AS now_doubt FROM {name}_p)"""
+
+    rules = ", ".join("('{}', '{}', '{}', '{}')".format(r, r.partition("/")[0], "/" + r.partition("/")[2], v) for r, v in RULES)
+    return f"""
+    WITH p AS (
+      SELECT page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+        regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM pages),
+    r(rule, rule_host, rule_path, verdict) AS (VALUES {rules}),
+    f AS (
+      SELECT p.page_id, any_value(p.host) AS host, any_value(p.path) AS path, arg_max(r.rule, length(r.rule)) AS rule, arg_max(r.verdict, length(r.rule)) AS told
+      FROM p LEFT JOIN r ON (p.host = r.rule_host OR ends_with(p.host, '.' || r.rule_host)) AND starts_with(p.path, r.rule_path) GROUP BY p.page_id),
+    hosts AS (
+      SELECT host, CASE WHEN len(string_split(host, '.')) <= 2 THEN host ELSE array_to_string(string_split(host, '.')[-2:], '.') END AS domain,
+        string_split(host, '.')[-1] AS suffix, CAST(count(told) AS DOUBLE) AS n, CAST(count(*) FILTER (WHERE told = 'block') AS DOUBLE) AS bad FROM f GROUP BY host),
+    domains AS (SELECT domain, suffix, sum(n) AS n, sum(bad) AS bad FROM hosts GROUP BY ALL),
+    suffixes AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad FROM domains GROUP BY ALL),
+    root AS (SELECT (sum(bad) + 1) / (sum(n) + 2) AS mean, (sum(bad) + 1) / (sum(n) + 2) * (1 - (sum(bad) + 1) / (sum(n) + 2)) / (sum(n) + 3) AS now_doubt FROM suffixes),
+    {level("at_suffix", "suffixes", "(SELECT mean FROM root)", "(SELECT now_doubt FROM root)", "suffix")},
+    d AS (SELECT domains.*, at_suffix.mean AS m, at_suffix.now_doubt AS v FROM domains JOIN at_suffix USING (suffix)),
+    {level("at_domain", "d", "m", "v", "domain")},
+    h AS (SELECT hosts.*, at_domain.mean AS m, at_domain.now_doubt AS v FROM hosts JOIN at_domain USING (domain)),
+    {level("at_host", "h", "m", "v", "host")}
+    SELECT page_id, f.host, path, rule, coalesce(told, CASE WHEN round(mean - 1.645 * sqrt(now_doubt), 9) > 0.5 THEN 'block' ELSE 'allow' END) AS verdict
+    FROM f JOIN at_host ON f.host = at_host.host
+    """
+
+
+@query("op2_host_reputation", _reputation_sql())
 def op2_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = host_reputation.judge(table(spark, sf_dir, "pages").select("page_id", "url"), RULES)
     return judged.select("page_id", "host", "path", "rule", "verdict")
