@@ -70,6 +70,16 @@ def dedup(opps: DataFrame, seq: str = "seq", key: Column | None = None, scope: l
     return survivors, duplicates
 
 
+def latest_record(opps: DataFrame) -> DataFrame:
+    """One record per page: the newest snapshot's, equal times settled by content."""
+    keyed = opps.withColumn("_content", F.xxhash64(*opps.columns))
+    newest = keyed.groupBy("opportunity_key").agg(
+        F.max(F.struct(F.coalesce(F.col("last_verified_at").cast("timestamp"), F.lit(0).cast("timestamp")), "seq", "_content")).alias("_top")
+    )
+    picked = newest.select("opportunity_key", F.col("_top._content").alias("_content"))
+    return keyed.join(picked, ["opportunity_key", "_content"], "left_semi").drop("_content").dropDuplicates(["opportunity_key"])
+
+
 def duplicate_evidence(duplicates: DataFrame) -> DataFrame:
     """Duplicate source URLs in the evidence layout."""
     return duplicates.select(

@@ -112,7 +112,8 @@ def page_features(pages: DataFrame) -> DataFrame:
     parsed = with_canonical(pages).withColumn("_outline", outline("raw_html", "final_url"))
     return parsed.select(
         *[c for c in pages.columns if c not in ("raw_html", "html", "canonical")],
-        F.col("_outline.text").alias("text"),
+        F.coalesce("_outline.text", F.lit("")).alias("text"),
+        F.col("_outline.text").isNull().alias("unread"),
         F.coalesce("_outline.nodes", F.array()).alias("nodes"),
         jsonld_scripts(F.col("raw_html")).alias("jsonld"),
         title_tag(F.col("raw_html")).alias("page_title"),

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
 from fairlead import schemas, vocab
 from fairlead.functions import urls
 
 
+#: Sequence numbers set aside for each file of recorded hits.
+FILE_ROOM = 1 << 32
+
+
 def read_pages(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
     """Page snapshots."""
     return spark.read.schema(schemas.PAGE).format(fmt).load(path)
@@ -52,8 +56,11 @@ def load_profiles(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_search_results(spark: SparkSession, path: str) -> DataFrame:
-    """Recorded search hits in file order (``seq``), one JSON list per file."""
+    """Recorded search hits in order (``seq``): files by name, then place in the file's JSON list."""
     layout = T.ArrayType(schemas.SEARCH_RESULT)
     files = spark.read.option("wholetext", True).text(path).select(F.from_json("value", layout).alias("r"), F.input_file_name().alias("f"))
-    rows = files.select("f", F.posexplode("r").alias("seq", "hit")).select("f", F.col("seq").cast("long").alias("seq"), "hit.*")
+    names = files.select("f").distinct()  # one row per file
+    numbered = names.select("f", (F.row_number().over(Window.orderBy("f")) - 1).cast("long").alias("_file"))
+    placed = files.select("f", F.posexplode("r").alias("_at", "hit")).join(numbered, "f")
+    rows = placed.select("f", (F.col("_file") * FILE_ROOM + F.col("_at")).alias("seq"), "hit.*")
     return rows.where(F.col("title").isNotNull() & F.col("url").isNotNull() & (F.col("rank") >= 1)).drop("f")
