@@ -58,13 +58,13 @@ def search_provenance(spark, sf):
     SELECT profile_id, canonical, seq FROM scored LEFT JOIN cuts USING (profile_id) WHERE search_score >= 0 AND (cut IS NULL OR seq <= cut)"""))
 def arrival_cap(spark, sf):
     kept = _scored(spark, sf).where(F.col("search_score") >= 0)
-    return sr.arrival_cap(kept, "profile_id", "canonical", "seq").select("profile_id", "canonical", "seq")
+    return sr.arrival_cap(kept, "profile_id", "canonical", "seq", sr.CANDIDATE_CAP).select("profile_id", "canonical", "seq")
 
 
 @query("topk", search_sql(f""", best AS ({_BEST}) SELECT profile_id, canonical, fetch_rank FROM (
     SELECT *, row_number() OVER (PARTITION BY profile_id ORDER BY search_score DESC, rank, canonical) AS fetch_rank FROM best) WHERE fetch_rank <= 30"""))
 def topk(spark, sf):
-    return sr.fetch_list(_merged(spark, sf)[0], "profile_id").select("profile_id", "canonical", "fetch_rank")
+    return sr.fetch_list(_merged(spark, sf)[0], "profile_id", sr.FETCH_CAP).select("profile_id", "canonical", "fetch_rank")
 
 
 @query("virtual_sources", b.with_views("""
@@ -123,7 +123,7 @@ def _plan_sql() -> str:
 
 @query("query_plan", b.with_views(_plan_sql(), "seekers"))
 def query_plan(spark, sf):
-    plan = sr.query_plan(b.seeker_profiles(spark, sf), F.to_date(F.lit(b.AS_OF[:10])))
+    plan = sr.query_plan(b.seeker_profiles(spark, sf), F.to_date(F.lit(b.AS_OF[:10])), sr.MAX_QUERIES, focuses=sr.FOCUSES)
     return plan.select(F.col("profile_id").cast("long").alias("profile_id"), "query_no", "mode", "family", "text")
 
 

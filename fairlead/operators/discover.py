@@ -2,24 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from fairlead.operators import classify as cl, ordered, pages as pg
 from fairlead.functions import urls
 from fairlead.session import cut_lineage
 
-MAX_LINKS, MAX_PAGES = 100, 100  # largest allowed per-source and per-run page caps (fixed values)
 SKIPPED = ("navigation", "non_opportunity", "organization_page")
 
 
-def capped_frontier(candidates: DataFrame, run: str, source: str, seq: str, max_links: str, max_pages: int = MAX_PAGES) -> DataFrame:
-    """Candidates that get loaded: each source's first ``max_links``, then the run's first ``max_pages``, in order."""
-    by_source = ordered.top_k(candidates, [run, source], [F.col(seq)], MAX_LINKS, "_n")
-    allowed = by_source.where(F.col("_n") <= F.col(max_links)).drop("_n")
-    return ordered.top_k(allowed, [run], [F.col(seq)], max_pages, "_n").drop("_n")
+def capped_frontier(candidates: DataFrame, run: str, source: str, seq: str, max_links: str, max_pages: int | None = None) -> DataFrame:
+    """Candidates that get loaded: each source's first ``max_links`` (NULL: all), then the run's first ``max_pages`` (None: all), in order."""
+    place = F.row_number().over(Window.partitionBy(run, source).orderBy(seq))
+    allowed = candidates.withColumn("_n", place).where(F.col(max_links).isNull() | (F.col("_n") <= F.col(max_links))).drop("_n")
+    return allowed if max_pages is None else ordered.top_k(allowed, [run], [F.col(seq)], max_pages, "_n").drop("_n")
 
 
-def settle_visits(candidates: DataFrame, max_pages: int = MAX_PAGES, max_rounds: int = 200) -> DataFrame:
+def settle_visits(candidates: DataFrame, max_pages: int | None = None) -> DataFrame:
     """Which candidates are recorded and visited when sources are walked in order, depth first.
 
     ``candidates`` holds every link that could be met: run_id, source_no, seq
@@ -37,7 +36,7 @@ def settle_visits(candidates: DataFrame, max_pages: int = MAX_PAGES, max_rounds:
     visited_hubs = hubs.select("run_id", F.col("seq").alias("parent_seq")).limit(0)
     before = 0
     decided = None
-    for _ in range(max_rounds):
+    while True:  # each round settles at least the next link in order
         open_hubs = visited_hubs.withColumn("_open", F.lit(True))
         active = candidates.join(open_hubs, ["run_id", "parent_seq"], "left").where(
             (F.col("depth") == 1) | F.col("_open")
@@ -59,7 +58,6 @@ def settle_visits(candidates: DataFrame, max_pages: int = MAX_PAGES, max_rounds:
         if not changed:
             return decided
         visited_hubs, before = now, 1
-    raise RuntimeError("discovery did not settle; raise max_rounds")
 
 
 def link_candidates(features: DataFrame, depth: int, *keep: str) -> DataFrame:
@@ -68,21 +66,23 @@ def link_candidates(features: DataFrame, depth: int, *keep: str) -> DataFrame:
     return cl.classify_links(cl.score_links(found)).withColumn("depth", F.lit(depth))
 
 
-def discover(sources: DataFrame, features: DataFrame, max_pages: int = MAX_PAGES) -> tuple[DataFrame, DataFrame]:
+def discover(sources: DataFrame, features: DataFrame, max_pages: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Discovery candidates (with final class and visit mark) and failures.
 
     ``sources``: run_id, source_no (walking order), id, url, source_type,
     category_focus, max_links_per_run, name, notes, enabled. ``features``: the
-    page features of every page that could be loaded, one row per canonical URL.
+    page features of every page that could be loaded; a page is found by its
+    requested, final or own canonical URL, and its newest snapshot counts.
+    Without ``max_pages`` and a source's ``max_links_per_run`` nothing is cut;
+    every page that a cap leaves out is a failure row of stage ``capped``.
     """
     sources = sources.where("enabled").select(
         "run_id", "source_no", F.col("id").alias("source_id"), F.col("url").alias("source_url"), "source_type",
-        "category_focus", F.least("max_links_per_run", F.lit(MAX_LINKS)).alias("max_links"), "name", "notes",
+        "category_focus", F.col("max_links_per_run").alias("max_links"), "name", "notes",
         urls.canonical_url(F.col("url")).alias("_at"),
     )
-    pages = features.select(
-        urls.canonical_url(F.col("final_url")).alias("_at"), "final_url", "nodes", "canonical",
-        cl.visit_title(F.col("nodes"), F.col("page_title")).alias("_title"),
+    pages = pg.by_alias(features).select(
+        F.col("alias").alias("_at"), "final_url", "nodes", "canonical", cl.visit_title(F.col("nodes"), F.col("page_title")).alias("_title"),
     )
     located = sources.join(pages, "_at", "left")
     failures = located.where(F.col("final_url").isNull()).select(
@@ -148,6 +148,10 @@ def discover(sources: DataFrame, features: DataFrame, max_pages: int = MAX_PAGES
             F.lit("candidate page is not among the loaded pages").alias("reason"),
         )
     )
+    left_out = decided.where(F.col("eligible") & F.col("loadable") & ~F.col("visited"))
+    failures = failures.unionByName(
+        left_out.select("run_id", F.lit("capped").alias("stage"), "source_id", "url", F.lit("page is beyond the caps of its source or run").alias("reason"))
+    )
     return candidates.drop("eligible", "loadable", "is_hub", "visited_class", "canonical", "parent_seq", "max_links", "pinned"), failures
 
 

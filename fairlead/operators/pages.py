@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from fairlead import vocab
 from fairlead.functions import text as tx, urls
@@ -125,6 +125,29 @@ def page_features(pages: DataFrame) -> DataFrame:
     )
 
 
+def latest_snapshot(features: DataFrame) -> DataFrame:
+    """One row per final URL: the newest snapshot, equal times settled by content."""
+    newest = Window.partitionBy("final_url").orderBy(F.desc_nulls_last("fetched_at"), F.xxhash64("text", "page_title", "canonical"), "requested_url")
+    return features.withColumn("_nth", F.row_number().over(newest)).where("_nth = 1").drop("_nth")
+
+
+def aliases(features: DataFrame) -> DataFrame:
+    """``alias, final_url``: every canonical URL that names a page; of several pages the one whose final URL it is, then the requested one's."""
+    names = F.array(*[
+        F.struct(F.lit(rank).alias("rank"), name.alias("alias")) for rank, name in enumerate(
+            (urls.canonical_url(F.col("final_url")), urls.canonical_url(F.col("requested_url")), F.col("canonical"))
+        )
+    ])
+    named = features.select("final_url", F.explode(names).alias("n")).where(F.col("n.alias").isNotNull())
+    best = named.groupBy(F.col("n.alias").alias("alias")).agg(F.min(F.struct("n.rank", "final_url")).alias("_b"))
+    return best.select("alias", "_b.final_url")
+
+
+def by_alias(features: DataFrame) -> DataFrame:
+    """The newest snapshot of each page under every URL that names it (``alias``)."""
+    return aliases(features).join(latest_snapshot(features), "final_url")
+
+
 def tagged(nodes: Column, *tags: str) -> Column:
     return F.filter(nodes, lambda n: n["tag"].isin(*tags))
 

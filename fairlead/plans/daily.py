@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from fairlead.functions import urls
 from fairlead.operators import (
-    assess as av, classify as cl, digest as dg, discover as ds, facts as fx, history as hs, notify as nt, reports as rp,
+    assess as av, classify as cl, digest as dg, discover as ds, facts as fx, history as hs, notify as nt, pages as pg, reports as rp,
     search as sr,
 )
 from fairlead.plans import evaluate as ev
@@ -31,9 +31,14 @@ def track(opps: DataFrame, seen_at: Column, state: DataFrame | None = None) -> D
     return tracked
 
 
+def record_key(final_url: Column) -> Column:
+    """The key of the record that a page gives."""
+    return F.sha2(urls.canonical_url(final_url), 256)
+
+
 def discovery_run(sources: DataFrame, features: DataFrame, pairs_of: DataFrame, profiles: DataFrame, as_of: Column,
                   seen_at: Column, state: DataFrame | None = None, known_sources: DataFrame | None = None,
-                  max_pages: int = ds.MAX_PAGES, assessor=av.judge) -> dict[str, DataFrame]:
+                  max_pages: int | None = None, assessor=av.judge) -> dict[str, DataFrame]:
     """Trusted sources to tracked records.
 
     ``pairs_of``: (run_id, profile_id) -- whose run it is. Pages come from the
@@ -41,14 +46,14 @@ def discovery_run(sources: DataFrame, features: DataFrame, pairs_of: DataFrame,
     """
     candidates, failures = ds.discover(sources, features, max_pages)
     wanted = ds.specific_urls(candidates, "run_id")
-    loaded = features.withColumn("_at", urls.canonical_url(F.col("final_url")))
-    opps, rejects = fx.extract(loaded.join(wanted.select(F.col("url").alias("_at")).distinct(), "_at", "left_semi").drop("_at"))
+    found = wanted.join(pg.aliases(features).withColumnRenamed("alias", "url"), "url")  # a page answers to each of its URLs
+    opps, rejects = fx.extract(pg.latest_snapshot(features).join(found.select("final_url").distinct(), "final_url", "left_semi"))
     opps = cut_lineage(opps)
-    pairs = wanted.join(pairs_of, "run_id").select(
-        "profile_id", F.sha2(F.col("url"), 256).alias("opportunity_key")
-    ).distinct()
+    pairs = found.join(pairs_of, "run_id").select("profile_id", record_key(F.col("final_url")).alias("opportunity_key")).distinct()
     result = ev.evaluate(opps, pairs, profiles, as_of, assessor)
-    walked = candidates.withColumn("canonical", urls.canonical_url(F.col("url")))
+    pages_at = pg.aliases(features).select(F.col("alias").alias("canonical"), urls.canonical_url(F.col("final_url")).alias("_page"))
+    walked = candidates.withColumn("canonical", urls.canonical_url(F.col("url"))).join(pages_at, "canonical", "left")
+    walked = walked.withColumn("canonical", F.coalesce("_page", "canonical"))
     mapped = sr.originating(result["opportunities"], walked, [], "source_id", "seq", last=True)
     unmapped = mapped.where(F.col("source_id").isNull()).select(
         F.lit("persistence").alias("stage"), F.col("source_url").alias("url"), F.lit("no source explains this record").alias("reason")
@@ -63,8 +68,8 @@ def discovery_run(sources: DataFrame, features: DataFrame, pairs_of: DataFrame,
 
 
 def search_run(profiles: DataFrame, recorded: DataFrame, features: DataFrame, as_of: Column, seen_at: Column,
-               state: DataFrame | None = None, max_queries: int = sr.MAX_QUERIES, max_results: int = sr.MAX_RESULTS,
-               cap: int = sr.CANDIDATE_CAP, fetch_cap: int = sr.FETCH_CAP, assessor=av.judge) -> dict[str, DataFrame]:
+               state: DataFrame | None = None, max_queries: int | None = None, max_results: int | None = None,
+               cap: int | None = None, fetch_cap: int | None = None, assessor=av.judge) -> dict[str, DataFrame]:
     """Query plan, recorded hits, merged candidates, page shapes, assessments and tracked records.
 
     Each profile is its own run. ``recorded``: hits (title, url, snippet, rank,
@@ -77,20 +82,26 @@ def search_run(profiles: DataFrame, recorded: DataFrame, features: DataFrame, as
     capped = sr.arrival_cap(scored.where(F.col("search_score") >= 0), "profile_id", "canonical", "seq", cap)
     candidates, provenance = sr.merge_hits(capped, ["profile_id", "canonical"])
     chosen = cut_lineage(sr.fetch_list(candidates, "profile_id", fetch_cap))
-    loaded = features.withColumn("canonical", urls.canonical_url(F.col("final_url")))
-    wanted = loaded.join(chosen.select("canonical").distinct(), "canonical", "left_semi")
+    found = chosen.join(pg.aliases(features).withColumnRenamed("alias", "canonical"), "canonical")
+    wanted = pg.latest_snapshot(features).join(found.select("final_url").distinct(), "final_url", "left_semi")
     opps, rejects = fx.extract(wanted)
     opps = cut_lineage(opps)
-    pairs = chosen.select("profile_id", F.sha2("canonical", 256).alias("opportunity_key"))
+    pairs = found.select("profile_id", record_key(F.col("final_url")).alias("opportunity_key")).distinct()
     result = ev.evaluate(opps, pairs, profiles, as_of, assessor)
-    refused = rejects.withColumn("canonical", urls.canonical_url(F.col("url")))
+    names = found.select("canonical", "final_url").distinct()
+    refused = rejects.join(names.join(wanted.select("final_url", F.col("requested_url").alias("url")), "final_url"), "url").select("canonical", "reason")
     result["queries"], result["provenance"] = queries, provenance
-    result["candidates"] = sr.observe_shapes(chosen, cl.with_page_shape(wanted), refused)
-    missing = chosen.join(loaded.select("canonical"), "canonical", "left_anti").select(
+    result["candidates"] = sr.observe_shapes(chosen, cl.with_page_shape(wanted.drop("canonical")).join(names, "final_url"), refused)
+    left_out = candidates.join(chosen.select("profile_id", "canonical"), ["profile_id", "canonical"], "left_anti")
+    beyond = scored.where(F.col("search_score") >= 0).join(candidates.select("profile_id", "canonical"), ["profile_id", "canonical"], "left_anti")
+    capped_rows = left_out.select("url", "provider").unionByName(beyond.select("url", "provider")).distinct().select(
+        F.lit("capped").alias("stage"), "url", "provider", F.lit("hit is beyond the caps of the run").alias("reason")
+    )
+    missing = chosen.join(names.select("canonical").distinct(), "canonical", "left_anti").select(
         F.lit("candidate_fetch").alias("stage"), "url", "provider", F.lit("page is not among the loaded pages").alias("reason")
     )
     result["tracked"] = track(result["opportunities"], seen_at, state)
-    result["failures"] = rp.failures_union(missing, rp.search_stage(rejects.select("url", "stage", "reason")), result["failures"])
+    result["failures"] = rp.failures_union(missing, capped_rows, rp.search_stage(rejects.select("url", "stage", "reason")), result["failures"])
     result["sources"] = sr.virtual_sources(candidates)
     return result
 

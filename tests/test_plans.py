@@ -46,11 +46,11 @@ def test_search_run_to_outbox(spark):
     profiles = _profile(spark)
     seen = F.lit("2027-03-10 00:00:00").cast("timestamp")
     from fairlead.operators import search as sr
-    first = sr.query_plan(profiles, F.to_date(seen)).where("query_no = 0").first().text
+    first = sr.query_plan(profiles, F.to_date(seen), sr.MAX_QUERIES, focuses=sr.FOCUSES).where("query_no = 0").first().text
     recorded = spark.createDataFrame([
         ("Fellowship", "https://h.example/f?utm_source=x", "Apply by 2027", 1, first, "web", 0), ("List", "https://h.example/list", "", 2, first, "web", 1),
         ("Lost", "https://h.example/lost", "grant", 3, first, "web", 2),
     ], "title string, url string, snippet string, rank int, query string, provider string, seq long")
-    run = daily.search_run(profiles, recorded, features, F.to_date(seen), seen)
+    run = daily.search_run(profiles, recorded, features, F.to_date(seen), seen, max_queries=sr.MAX_QUERIES)
     shapes = {r.canonical.rsplit("/", 1)[1]: (r.page_shape, r.proceeded_to_extraction) for r in run["candidates"].collect()}
     assert shapes == {"f": ("specific_opportunity", True), "list": ("multi_opportunity_listing", False), "lost": (None, None)}
