@@ -29,17 +29,18 @@ from fairlead.llm.common import Recent
 
 #: Labelled rows of each label to fit on at most; features kept at most, strongest first; remembered words.
 SAMPLE, FEATURES, ROOM = 4000, 20_000, 150_000
-#: Costs (nats): a sign as a letter, a sign as nothing, a repeated letter as one.
-SIGN, DROPPED, REPEATED = 1.0, 2.5, 1.0
+#: Costs (nats): a sign as a letter, a sign as nothing, the same where signs shall stay, a repeated letter as one.
+SIGN, DROPPED, KEPT, REPEATED = 1.0, 2.5, 1000.0, 1.0
 # Letters that leetspeak signs stand for.
 SIGNS = {
     "0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g",
-    "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l", "*": "", ".": "", "-": "", "_": "", "'": "", " ": "",
+    "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l", "*": "aeiou", ".": "", "-": "", "_": "", "'": "", " ": "",
 }
 EDGE, OTHER, KINDS = 0, 27, 28
 _ENDS = re.compile(r"^(?:([^\w\s])\1+|[^\w\s@$!|+(€£])+|(?:([^\w\s])\2+|[^\w\s@$!|+(€£])+$")
 _SPACED = re.compile(r"(?<![^\s])[^\s](?: [^\s]){2,}(?![^\s])")
-_DISGUISED = re.compile(r"[^\W\d_].*[\d\W_]|[\d\W_].*[^\W\d_]|([^\W\d_])\1")
+_DISGUISED = re.compile(r"[^\W\d_].*[\d\W_]|[\d\W_].*[^\W\d_]|([^\W\d_])\1\1|([^\W\d_])\2.*([^\W\d_])\3", re.S)
+_TWICE = re.compile(r"([^\W\d_])\1")
 
 
 def kind(letter: str) -> int:
@@ -81,8 +82,8 @@ class Restorer:
     def __init__(self, costs: np.ndarray):
         self.costs = costs.tolist()
 
-    def restore(self, word: str) -> str:
-        """The cheapest reading of a lower-case word; linear in its length."""
+    def restore(self, word: str, dropped: float = DROPPED) -> str:
+        """The cheapest reading of a lower-case word, where a sign left out costs ``dropped``; linear in its length."""
         costs = self.costs
         paths: dict[tuple[int, int, str], tuple[float, tuple | None]] = {(EDGE, EDGE, ""): (0.0, None)}
         for c in word:
@@ -99,7 +100,7 @@ class Restorer:
                         if key not in grown or total < grown[key][0]:
                             grown[key] = (total, back)
                 if not c.isalpha():
-                    key, total = (a, b, last), cost + (DROPPED if SIGNS.get(c) else 0.1)
+                    key, total = (a, b, last), cost + (dropped if SIGNS.get(c) else 0.1)
                     if key not in grown or total < grown[key][0]:
                         grown[key] = (total, back)
             paths = grown
@@ -111,13 +112,16 @@ class Restorer:
         return "".join(reversed(letters))
 
     def readings(self, token: str) -> tuple[str, ...]:
-        """The plain and the restored reading of a token between spaces."""
+        """The readings of a token between spaces: its bare letters, the best one, and the best one in which every sign is a letter."""
         plain = _ENDS.sub("", token.lower())
+        if plain.isalpha() and not _TWICE.search(plain):
+            return (plain,)
         if not _DISGUISED.search(plain):
-            return (plain,) if plain.isalpha() else ()
-        restored = self.restore(plain)
+            once = _TWICE.sub(r"\1", plain)  # letters with one of them doubled have two paths; both are read
+            return ((plain,) if once == plain else (plain, once)) if plain.isalpha() else ()
         bare = "".join([c for c in plain if c.isalpha()])
-        return tuple({x: None for x in (bare, restored) if x})
+        found = [bare, self.restore(plain)] + [self.restore(plain, KEPT)] * (len(bare) < len(plain))
+        return tuple({x: None for x in found if x})
 
 
 def features_of(reading: str) -> list[str]:
