@@ -152,7 +152,7 @@ def jsonld(spark, sf):
 
 
 @query("page_shape", b.with_views("""
-    SELECT notice_id, 'specific_opportunity' AS shape, 'specific opportunity title with actionable/factual evidence' AS signals,
+    SELECT notice_id, 'specific_opportunity' AS shape, 'title of one opportunity, with facts or a way to apply' AS signals,
            '' AS children
     FROM notices""", "notices"))
 def page_shape(spark, sf):

@@ -106,13 +106,20 @@ def with_canonical(pages: DataFrame, html: str = "raw_html", final_url: str = "f
     return step.withColumn("canonical", urls.canonical_url(F.col("_self"))).drop("_href", "_target", "_self")
 
 
+def tidy_lines(text: Column) -> Column:
+    """Lines without surrounding or repeated blanks, at most one empty line between two, none at the ends."""
+    lines = F.split(text, r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]")
+    clean = F.transform(lines, lambda l: F.regexp_replace(F.regexp_replace(l, r"[\t ]+", " "), r"(?U)^\s+|\s+$", ""))
+    return F.regexp_replace(F.regexp_replace(F.array_join(clean, "\n"), r"\n{3,}", "\n\n"), r"^\n+|\n+$", "")
+
+
 def page_features(pages: DataFrame) -> DataFrame:
     """Parse every page once: text, elements, structured data, titles. Cache this, not the HTML."""
     pages = with_page_defaults(pages)
     parsed = with_canonical(pages).withColumn("_outline", outline("raw_html", "final_url"))
     return parsed.select(
         *[c for c in pages.columns if c not in ("raw_html", "html", "canonical")],
-        F.coalesce("_outline.text", F.lit("")).alias("text"),
+        F.coalesce(tidy_lines(F.col("_outline.text")), F.lit("")).alias("text"),
         F.col("_outline.text").isNull().alias("unread"),
         F.coalesce("_outline.nodes", F.array()).alias("nodes"),
         jsonld_scripts(F.col("raw_html")).alias("jsonld"),
