@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from fairlead import vocab
 from fairlead.catalog.base import query
 from fairlead.functions import urls
-from fairlead.operators import classify as cl, discover as ds, matching as mt, ordered, pages as pg, reports as rp, search as sr
+from fairlead.operators import classify as cl, discover as ds, enrich as en, matching as mt, ordered, pages as pg, reports as rp, search as sr
 from fairlead.sources import bindings as b
 
 # --- search hits ---------------------------------------------------------------------
@@ -229,3 +229,34 @@ def failures_union(spark, sf):
         refused.select(F.lit("fetch").alias("stage"), F.col("requested_url").alias("url"), F.col("reject_kind").alias("reason")),
     )
     return union.groupBy("stage").agg(F.count(F.lit(1)).alias("n"))
+
+
+# --- overrides and page names ------------------------------------------------------
+
+@query("override_rejects", b.with_views("""
+    SELECT notice_id, path, CASE WHEN path = 'nowhere' THEN 'unsupported override field' ELSE 'override value does not fit the field' END AS reason
+    FROM (SELECT notice_id, ['deadline', 'title', 'nowhere', 'eligibility.minimum_age'][1 + notice_id % 4] AS path, (notice_id // 4) % 4 AS v FROM notices)
+    WHERE path = 'nowhere' OR path = 'deadline' AND v IN (1, 2) OR path = 'eligibility.minimum_age' AND v IN (0, 1)""", "notices"))
+def override_rejects(spark, sf):
+    """Dates, words, numbers and nulls given to a date, a text, an unknown field and a number."""
+    pick = lambda values, n: F.get(F.array(*map(F.lit, values)), n.cast("int"))
+    leaves = b.view(spark, sf, "notices").select(
+        "notice_id", "url", pick(("deadline", "title", "nowhere", "eligibility.minimum_age"), F.col("notice_id") % 4).alias("path"),
+        pick(('"2027-05-01"', '"some words"', "12", "null"), F.floor(F.col("notice_id") / 4) % 4).alias("value"),
+    )
+    return en.override_rejects(leaves).select("notice_id", "path", "reason")
+
+
+@query("page_alias", """
+    WITH n AS (SELECT page_id AS a, 'https://final.example/' || (page_id // 2) AS f, unnest([
+                 {'rank': 0, 'alias': 'https://final.example/' || (page_id // 2)}, {'rank': 1, 'alias': 'https://asked.example/' || (page_id % 50)},
+                 {'rank': 2, 'alias': 'https://own.example/' || (page_id // 3)}]) AS n FROM pages)
+    SELECT n.alias AS alias, arg_min(f, (n.rank, f)) AS final_url FROM n GROUP BY n.alias""")
+def page_alias(spark, sf):
+    """Requested, final and own canonical URL of every page; several pages may claim a name."""
+    at = lambda host, number: F.concat(F.lit(f"https://{host}.example/"), number.cast("long").cast("string"))
+    p = F.col("page_id")
+    rows = b.table(spark, sf, "pages").select(
+        at("asked", p % 50).alias("requested_url"), at("final", F.floor(p / 2)).alias("final_url"), at("own", F.floor(p / 3)).alias("canonical")
+    )
+    return pg.aliases(rows)
