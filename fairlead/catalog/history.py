@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 
 from fairlead import vocab
 from fairlead.catalog.base import query
+from fairlead.catalog.text import CANONICAL
 from fairlead.operators import history as hs, notify as nt, reports as rp
+from fairlead.session import shared_folder
 from fairlead.sources import bindings as b
 from fairlead.streaming import jobs
 
@@ -142,12 +144,11 @@ def plan_attempts(spark, sf):
     return rows.groupBy(F.col("plan_id").alias("record_id"), F.col("plan_id").alias("plan_no"), "delivery_status").agg(F.count(F.lit(1)).alias("items"))
 
 
-@query("stream_dedup")
+@query("stream_dedup", CANONICAL)
 def stream_dedup(spark, sf):
     """Pages as a file stream; every page arrives twice in the stream and passes once."""
     schema = spark.read.parquet(f"{sf}/pages.parquet").schema
-    base = spark.conf.get("spark.checkpoint.dir", "/tmp/fairlead-streams")
-    folder = f"{base}/stream-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "pages.parquet").parquet(sf).withColumn(
         "fetched_at", F.timestamp_seconds(F.lit(1_560_000_000) + F.col("page_id"))
     )
@@ -155,3 +156,16 @@ def stream_dedup(spark, sf):
     done = jobs.run_once(jobs.stream_dedup(twice, "url", "fetched_at").select("page_id", "canonical"), f"{folder}/out", f"{folder}/state")
     done.awaitTermination()
     return spark.read.schema("page_id long, canonical string").parquet(f"{folder}/out")
+
+
+@query("stream_ledger", b.with_views(_LEDGER, "attempts"))
+def stream_ledger(spark, sf):
+    """The delivery ledger kept by a stream of attempts; equals the batch fold."""
+    schema = spark.read.parquet(f"{sf}/events.parquet").schema
+    folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+    attempts = spark.sql(b.VIEWS["attempts"](b.SPARK), events=events)
+    keys = ["plan_no", "chunk_index"]
+    running = jobs.ledger_stream(attempts, keys, "seq", "attempted_at", F.col("delivered"), F.coalesce("error", F.lit("")))
+    jobs.run_updates(running, f"{folder}/out", f"{folder}/state").awaitTermination()
+    return jobs.latest_updates(spark, f"{folder}/out", keys).withColumn("error", F.nullif("error", F.lit("")))

@@ -9,7 +9,7 @@ from fairlead.functions import text as tx, urls
 from fairlead.operators import classify as cl, notify as nt, pages as pg
 from fairlead.sources import bindings as b
 
-_CANONICAL = """
+CANONICAL = """
     SELECT page_id, base || CASE WHEN q <> '' THEN '?' || q ELSE '' END AS canonical FROM (
       SELECT page_id,
              lower(regexp_extract(url, '^([a-zA-Z]+://[^/?#]*)', 1))
@@ -19,7 +19,7 @@ _CANONICAL = """
       FROM pages)"""
 
 
-@query("canonical_url", _CANONICAL)
+@query("canonical_url", CANONICAL)
 def canonical_url(spark, sf):
     return b.table(spark, sf, "pages").select("page_id", urls.canonical_url(F.col("url")).alias("canonical"))
 

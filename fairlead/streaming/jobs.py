@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from fairlead.functions import urls
@@ -57,11 +57,23 @@ def change_batches(state_path: Callable[[int], str], versions_path: str, key: st
     return apply
 
 
-def ledger_stream(attempts: DataFrame, keys: list[str], at: str) -> DataFrame:
-    """Running delivery ledger in update mode."""
-    ok = F.col("delivered")
-    return attempts.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("attempts"), F.min(F.when(ok, F.col(at))).alias("first_sent_at"),
-        F.max(F.when(ok, F.col(at))).alias("last_sent_at"), F.max(at).alias("last_attempted_at"),
-        F.max_by(ok, at).alias("last_delivered"),
-    )
+def ledger_stream(attempts: DataFrame, keys: list[str], seq: str, at: str, delivered: Column, error: Column) -> DataFrame:
+    """Running delivery ledger: the batch fold over a stream, in sequence order."""
+    return hs.fold_attempts(attempts, keys, seq, at, delivered, error)
+
+
+def run_updates(stream: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
+    """Write each batch's changed rows to its own folder; a replayed batch overwrites the same folder."""
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    writer = stream.writeStream.outputMode("update").option("checkpointLocation", checkpoint)
+    return writer.trigger(availableNow=True).foreachBatch(keep).start()
+
+
+def latest_updates(spark: SparkSession, out: str, keys: list[str]) -> DataFrame:
+    """The last written row of each key."""
+    rows = spark.read.parquet(out)
+    rest = [c for c in rows.columns if c not in (*keys, "batch")]
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("_r")).select(*keys, "_r.*")
