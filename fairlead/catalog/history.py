@@ -56,6 +56,17 @@ def track_against_state(spark, sf):
     return done.select("record_id", "seq", "change_class", "version_number")
 
 
+@query("next_state", track_sql(""" SELECT record_id, arg_max(status, seq) AS status, arg_max(bucket, seq) AS bucket, cast(max(version_number) as bigint) AS version_number
+    FROM tracked GROUP BY 1"""))
+def next_state(spark, sf):
+    """The state after two runs, the second tracked against the state of the first."""
+    obs, fields = b.view(spark, sf, "observations"), ["status", "bucket"]
+    half = obs.agg(F.floor(F.max("seq") / 2)).scalar()
+    first = hs.next_state(hs.change_track(obs.where(F.col("seq") < half), "record_id", "seq", fields, 1000), "record_id", "seq", fields)
+    second = hs.track_against(first, obs.where(F.col("seq") >= half), "record_id", "seq", fields)
+    return hs.next_state(second, "record_id", "seq", fields, first)
+
+
 @query("state_fold", b.with_views("""
     SELECT record_id, arg_min(seen_at, seq) AS first_seen_at, arg_max(seen_at, seq) AS last_seen_at, arg_min(status, seq) AS first_status,
            arg_max(bucket, seq) AS bucket FROM observations GROUP BY 1""", "observations"))

@@ -125,6 +125,12 @@ def track_against(state: DataFrame, opps: DataFrame, key: str, seq: str, fields:
     return rows.withColumn("version_number", shift).drop("_base")
 
 
+def next_state(tracked: DataFrame, key: str, seq: str, fields: list[str], state: DataFrame | None = None) -> DataFrame:
+    """The state that the next run tracks against: ``key``, the latest fields, ``version_number``; keys not seen stay as they were."""
+    latest = tracked.groupBy(key).agg(F.max_by(F.struct(*fields, "version_number"), seq).alias("_s")).select(key, "_s.*")
+    return latest if state is None else state.select(latest.columns).join(latest.select(key), key, "left_anti").unionByName(latest)
+
+
 def state_fold(observations: DataFrame, key: str, seq: str, seen_at: str, first_wins: list[str], last_wins: list[str],
                state: DataFrame | None = None) -> DataFrame:
     """One row per key: first/last seen, first source kept, everything else from the last observation."""

@@ -106,6 +106,12 @@ def search_run(profiles: DataFrame, recorded: DataFrame, features: DataFrame, as
     return result
 
 
+def persisted(result: dict[str, DataFrame], state: DataFrame | None = None) -> dict[str, DataFrame]:
+    """What a run leaves for the next one: new versions of records and the state that it will be tracked against."""
+    tracked = result["tracked"]
+    return {"versions": hs.versions(tracked), "state": hs.next_state(tracked, "history_key", "seq", STATE_FIELDS, state)}
+
+
 def merge_items(*runs: dict[str, DataFrame]) -> DataFrame:
     """Assessed and tracked records of several runs, one item per profile and history key."""
     merged = None
@@ -117,12 +123,18 @@ def merge_items(*runs: dict[str, DataFrame]) -> DataFrame:
     return hs.precedence_merge(merged.withColumn("_at", F.struct("_run", "seq")), ["profile_id", "item_id"], "_at").drop("_at", "_run")
 
 
-def daily_cycle(items: DataFrame, ledger: DataFrame, runs: DataFrame) -> dict[str, DataFrame]:
-    """Summary, plans, outbox and heartbeats of one day; sending is somebody else's job."""
+def daily_cycle(items: DataFrame, ledger: DataFrame, runs: DataFrame, work: dict[str, DataFrame] | None = None,
+                fetch_cap: int | None = None) -> dict[str, DataFrame]:
+    """Summary, plans, outbox and heartbeats of one day; sending is somebody else's job.
+
+    ``work``: the day's sources, queries, candidates and failures by profile_id; with them the summary has all ten measures.
+    """
     planned = nt.notify_plan(items, ledger)
     header, lines = nt.outbox(planned)
     beats = nt.heartbeat(runs, planned.select("profile_id").distinct(), "profile_id")
     return {
-        "summary": rp.daily_summary(items, "profile_id"), "plans": planned, "outbox": header, "outbox_items": lines,
+        "summary": rp.daily_summary(items, "profile_id") if work is None else rp.run_summary(
+            runs, items, work["sources"], work["queries"], work["candidates"], work["failures"], fetch_cap, "profile_id"
+        ), "plans": planned, "outbox": header, "outbox_items": lines,
         "heartbeats": beats, "sections": dg.change_sections(items, only_changed=True),
     }
