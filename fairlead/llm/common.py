@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from fairlead.session import cut_lineage
+from fairlead.session import cut_lineage, shared_folder
 
 __all__ = ["Recent", "cut_lineage", "let", "one_per_id", "shared_folder", "table", "text_buffer"]
 
@@ -18,13 +18,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder of checkpoints, which every executor can reach."""
-    if spark.sparkContext.getCheckpointDir() is None:
-        cut_lineage(spark.range(1))
-    return spark.sparkContext.getCheckpointDir()
-
-
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """Bind ``value`` once and use it many times; the optimiser cannot copy it into the uses."""
     return F.transform(F.array(value), body)[0]
