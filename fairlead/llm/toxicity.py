@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 
 from fairlead.llm.common import Recent
 
-#: Labelled rows of each label to fit on at most; features kept at most, strongest first; remembered words.
-SAMPLE, FEATURES, ROOM = 4000, 20_000, 150_000
+#: Labelled rows of each label to fit on at most; features kept at most, strongest first; toxic rows of a feature at least; remembered words.
+SAMPLE, FEATURES, LEAST, ROOM = 4000, 20_000, 3, 120_000
 #: Costs (nats): a sign as a letter, a sign as nothing, the same where signs shall stay, a repeated letter as one.
 SIGN, DROPPED, KEPT, REPEATED = 1.0, 2.5, 1000.0, 1.0
 # Letters that leetspeak signs stand for.
@@ -145,7 +145,7 @@ def fit(rows: list[set[str]], toxic: np.ndarray, share: float) -> tuple[dict[str
     scored = []
     for f, a in sides[1].items():
         b = sides[0][f]
-        if a >= 3:
+        if a >= LEAST:
             low = np.log((a + 0.5) / (n1 + 1)) - np.log((b + 0.5) / (n0 + 1)) - 2 * np.sqrt(1 / (a + 0.5) + 1 / (b + 0.5))
             if low > 0:
                 scored.append((-low, f))
@@ -163,20 +163,26 @@ def fit(rows: list[set[str]], toxic: np.ndarray, share: float) -> tuple[dict[str
     return {f: float(w[i]) for f, i in chosen.items() if w[i] > 0}, float(bias + odds(min(max(share, 1e-4), 1 - 1e-4)) - odds(n1 / (n0 + n1)))
 
 
+def _readers(restorer: Restorer, kept, room: int) -> Recent:
+    """The features in ``kept`` (None: all) of a token."""
+    return Recent(lambda tokens: [tuple([f for r in restorer.readings(t) for f in features_of(r) if kept is None or f in kept]) for t in tokens], room)
+
+
+def _row(recent: Recent, text: str | None) -> set[str]:
+    tokens = tokens_of(text or "")
+    return {f for found in map(recent.lookup(tokens), tokens) if found for f in found}
+
+
 def _trainer(costs: np.ndarray, share: float):
     def body(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sample = pd.concat([*batches]).sort_values(["order", "text"], kind="stable")
-        restorer = Restorer(costs)
-        known: dict[str, list[str]] = {}
-        rows = []
-        for text in sample["text"]:
-            row: set[str] = set()
-            for token in tokens_of(text or ""):
-                if token not in known:
-                    known[token] = [f for r in restorer.readings(token) for f in features_of(r)]
-                row.update(known[token])
-            rows.append(row)
-        weights, bias = fit(rows, sample["toxic"].to_numpy().astype(bool), share)
+        toxic = sample["toxic"].to_numpy().astype(bool)
+        restorer, seen = Restorer(costs), Counter()
+        every = _readers(restorer, None, 20_000)
+        for text in sample["text"][toxic]:
+            seen.update(_row(every, text))
+        told = _readers(restorer, {f for f, n in seen.items() if n >= LEAST}, ROOM)  # only these can be chosen
+        weights, bias = fit([_row(told, text) for text in sample["text"]], toxic, share)
         yield pd.DataFrame({"feature": ["", *weights], "w": [bias, *weights.values()]})
 
     return body
@@ -209,17 +215,11 @@ def score(docs: DataFrame, model: tuple[np.ndarray, dict[str, float], float], te
     at_text = [f.name for f in kept].index(text)
 
     def body(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        restorer = Restorer(costs)
-
-        def told(tokens: list[str]) -> list[tuple[str, ...]]:
-            return [tuple([f for r in restorer.readings(t) for f in features_of(r) if f in weights]) for t in tokens]
-
-        recent = Recent(told, ROOM)
+        recent = _readers(Restorer(costs), weights, ROOM)
         for batch in batches:
             scores = []
             for value in batch.column(at_text):
-                tokens = tokens_of(value.as_py() or "")
-                fired = {f for found in map(recent.lookup(tokens), tokens) if found for f in found}
+                fired = _row(recent, value.as_py())
                 z = bias + sum([weights[f] for f in sorted(fired)])
                 scores.append(float(1 / (1 + np.exp(-min(30.0, max(-30.0, z))))))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], names=[*[f.name for f in kept], out])
