@@ -6,8 +6,9 @@ order is a hash of the two bin numbers, so two texts that occupy the same bins b
 are kept; equal low bits of different values are expected once in 2^bits, and ``likeness`` corrects for that.
 
 A text of fewer than five words is one shingle; a null text counts as empty. A text without words has an empty fingerprint,
-which is 1 like another empty one and 0 like any other. Rows that repeat an id count once, with the smallest text; rows without
-an id are left out. Texts are shuffled once, by id; the order of ids is found on narrow rows.
+which is 1 like another empty one and 0 like any other. Rows that repeat an id count once, with the shortest text (of equally long
+ones that with the smallest hash); rows without an id are left out. Texts are shuffled once, by id; the order of ids is found on
+narrow rows.
 """
 
 from __future__ import annotations
@@ -92,8 +93,10 @@ def edited(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
     Returns ``doc_id, n_chars, print, edited_text, next_print``.
     """
     source = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    printed = one_per_id(source.withColumn("print", fingerprint(F.col("text"))), "doc_id", "text")
-    order = successors(printed.select("doc_id", F.length("text").alias("n_chars")))
+    source = source.withColumns({"n_chars": F.length("text"), "mark": F.xxhash64("text")})
+    chosen = ("n_chars", "mark")
+    printed = one_per_id(source.withColumn("print", fingerprint(F.col("text"))), "doc_id", *chosen)
+    order = successors(one_per_id(source.select("doc_id", *chosen), "doc_id", *chosen).drop("mark"))
     heads = printed.join(order.select(F.col("doc_id").alias("_to"), F.col("next").alias("doc_id"), F.floor(F.col("n_chars") / 2).cast("int").alias("_take")), "doc_id")
     heads = heads.select(F.col("_to").alias("doc_id"), F.left("text", F.col("_take")).alias("head"), F.col("print").alias("next_print"))
     kept = F.left(F.col("text"), F.length("text") - F.floor(F.length("text") / 2).cast("int"))
