@@ -31,7 +31,7 @@ from fairlead.llm.shingles import mix, powers
 
 LEAST, GRAM = 50, 16
 #: Bytes of text in a block on average; bytes handled at once (positions must fit 20 bits).
-BLOCK, CHUNK = 12 << 20, 1 << 19
+BLOCK, CHUNK = 8 << 20, 1 << 19
 _BYTES = np.random.Generator(np.random.PCG64(50)).integers(0, 1 << 64, 256, np.uint64)
 
 
@@ -254,7 +254,7 @@ def _cut(buckets: int, kept: list[str], as_text: bool):
         e, flags = block.entries, block.answered(replies)
         masks = {b: m for b, m in zip(replies["bucket"].to_pylist(), replies["masks"].to_pylist(), strict=True) if m}
         whole = (flags[block.number] == COVERED) | (block.doc > block.doc[block.first][block.number])
-        change = np.zeros(len(block.data) + 1, np.int64)
+        change = np.zeros(len(block.data) + 1, np.int32)
         np.add.at(change, e.low[whole], 1)
         np.add.at(change, e.high[whole] + LEAST, -1)
         shown = np.full(len(block.first), -1, np.int64)  # where the strings of a partly covered context begin
@@ -272,7 +272,7 @@ def _cut(buckets: int, kept: list[str], as_text: bool):
         strings = _ranges(e.low[some], counts)[bits[_ranges(shown[block.number[some]], counts)]]
         np.add.at(change, strings, 1)
         np.add.at(change, strings + LEAST, -1)
-        removed = np.cumsum(change[:-1]) > 0
+        removed = np.cumsum(change[:-1], dtype=np.int32) > 0
         edge = np.zeros(len(removed) + 1, bool)
         edge[block.offsets] = True
         starts = np.flatnonzero(removed & (edge[:-1] | ~np.concatenate([[False], removed[:-1]])))
