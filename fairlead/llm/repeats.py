@@ -11,7 +11,12 @@ match is missed. An entry's context is all strings that it anchors. Buckets are
    on the bucket identifiers at a later offset, which doubles the depth as the identifiers of the last round are used again,
    until the depth is ``LEAST``. A string is covered if the smallest document of its bucket is smaller than its own.
 
-Blocks and buckets have bounded sizes whatever the number of copies. A null text counts as empty; rows without an id are left
+A gram with very many distinct contexts (a phrase shorter than ``LEAST`` with other neighbours in each document) is crowded and
+has no bucket of its own: in step 2 its entries are dealt by context, and in step 3 each block sends the 128-bit name of each
+distinct string once, with its smallest document, dealt by name. Crowded grams are found on one document in ``SAMPLED``; which
+ones are found changes only how the work is dealt, never the result.
+
+Blocks and buckets have bounded sizes whatever the number of copies or of contexts of a gram. A null text counts as empty; rows without an id are left
 out; rows that repeat an id are one document's texts, in which no text removes another. Bytes are those of UTF-8.
 """
 
@@ -32,7 +37,10 @@ from fairlead.llm.shingles import mix, powers
 LEAST, GRAM = 50, 16
 #: Bytes of text in a block on average; bytes handled at once (positions must fit 20 bits).
 BLOCK, CHUNK = 8 << 20, 1 << 19
+#: Distinct contexts from which a gram is crowded; one document in so many is searched for such grams; names of strings in a bucket on average.
+CROWD, SAMPLED, NAMES = 1 << 15, 64, 1 << 19
 _BYTES = np.random.Generator(np.random.PCG64(50)).integers(0, 1 << 64, 256, np.uint64)
+_OTHERS = np.random.Generator(np.random.PCG64(51)).integers(0, 1 << 64, 256, np.uint64)
 
 
 @dataclass
@@ -130,6 +138,30 @@ def refined(data: np.ndarray, strings: np.ndarray, least: int = LEAST, q: int =
     return bucket[strings]
 
 
+def _changes(*columns: np.ndarray) -> np.ndarray:
+    """Where a row differs from the row before it; the first row does."""
+    return np.concatenate([np.ones(min(1, len(columns[0])), bool), np.logical_or.reduce([x[1:] != x[:-1] for x in columns])])
+
+
+def names_of(data: np.ndarray, low: np.ndarray, counts: np.ndarray, least: int = LEAST) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit hashes of each of the ``least``-byte strings that start at ``low[i], ..., low[i] + counts[i] - 1``."""
+    found: list[tuple[np.ndarray, np.ndarray]] = []
+    ends, at = np.cumsum(counts + least - 1), 0
+    while at < len(low):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + CHUNK, "right")))
+        sizes = counts[at:to] + least - 1
+        piece = data[_ranges(low[at:to], sizes)]
+        starts = _ranges(np.cumsum(sizes) - sizes, counts[at:to])
+        up, down = powers(len(piece) + 1)
+        both = []
+        for weights in (_BYTES, _OTHERS):
+            sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(weights[piece] * up[:-1], dtype=np.uint64)])
+            both.append(mix((sums[starts + least] - sums[starts]) * down[starts]))
+        found.append((both[0], both[1]))
+        at = to
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.uint64), np.zeros(0, np.uint64))
+
+
 def _buckets(keys: np.ndarray, members: np.ndarray, size: int) -> np.ndarray:
     out = np.full(size, -1, np.int64)
     if len(keys):
@@ -141,17 +173,19 @@ def _buckets(keys: np.ndarray, members: np.ndarray, size: int) -> np.ndarray:
 class Block:
     """One block's documents, their entries, and the distinct contexts in the order in which they are sent."""
 
-    def __init__(self, table: pa.Table, buckets: int):
+    def __init__(self, table: pa.Table, buckets: int, crowded: np.ndarray):
         self.table = table.sort_by("doc_id").combine_chunks()
         texts = self.table["text"]
         self.docs = self.table["doc_id"].to_numpy()
         self.data, self.offsets = text_buffer(texts.combine_chunks() if isinstance(texts, pa.ChunkedArray) else texts)
         self.entries = entries_of(self.data, self.offsets)
         first, self.number = first_of(self.entries.context)  # rows are in order of documents, so the first is the smallest
-        bucket = self.entries.gram[first] % np.uint64(buckets)
+        gram = self.entries.gram[first]
+        apart = np.isin(gram, crowded)
+        bucket = np.where(apart, self.entries.context[first], gram) % np.uint64(buckets)
         order = np.lexsort((first, bucket))
         self.number = np.argsort(order, kind="stable")[self.number]
-        self.first, bucket = first[order], bucket[order].astype(np.int64)
+        self.first, self.apart, bucket = first[order], apart[order], bucket[order].astype(np.int64)
         self.doc = self.docs[self.entries.row]
         starts = np.flatnonzero(np.concatenate([[True], np.diff(bucket) != 0])) if len(bucket) else np.zeros(0, np.int64)
         self.slices = [(int(bucket[a]), slice(a, b)) for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(bucket)], strict=True)]
@@ -159,12 +193,44 @@ class Block:
     def answered(self, replies: pa.Table) -> np.ndarray:
         """The flag of each distinct context."""
         flags = np.zeros(len(self.first), np.uint8)
-        found = dict(zip(replies["bucket"].to_pylist(), replies["flags"].to_pylist(), strict=True))
+        found = {b: f for b, f in zip(replies["bucket"].to_pylist(), replies["flags"].to_pylist(), strict=True) if f}
         for bucket, part in self.slices:
             if found.get(bucket):
                 flags[part] = np.frombuffer(zlib.decompress(found[bucket]), np.uint8)
         return flags
 
+    def named(self, flags: np.ndarray, buckets: int, shards: int) -> Named:
+        """The strings of the crowded grams' partly equal contexts."""
+        contexts = np.flatnonzero(self.apart & (flags == PARTLY))
+        at = self.first[contexts]
+        counts = self.entries.high[at] - self.entries.low[at] + 1
+        owner = np.repeat(self.doc[at], counts)
+        name, other = names_of(self.data, self.entries.low[at], counts)
+        shard = name % np.uint64(shards)
+        order = np.lexsort((owner, other, name, shard))
+        fresh = _changes(name[order], other[order])
+        number = np.zeros(len(order), np.int64)
+        number[order] = np.cumsum(fresh) - 1
+        firsts = order[fresh]  # of each name, in its smallest document
+        shard = shard[firsts].astype(np.int64)
+        cuts = [*np.flatnonzero(_changes(shard)).tolist(), len(shard)]
+        slices = [(buckets + int(shard[a]), slice(a, b)) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        return Named(contexts, counts, owner, number, name[firsts], other[firsts], owner[firsts], slices)
+
+
+@dataclass
+class Named:
+    """Strings by name: of each string its owner and the number of its name; of each distinct name its smallest document in the block."""
+
+    contexts: np.ndarray
+    counts: np.ndarray
+    owner: np.ndarray
+    number: np.ndarray
+    name: np.ndarray
+    other: np.ndarray
+    doc: np.ndarray
+    slices: list[tuple[int, slice]]
+
 
 COVERED, PARTLY = 1, 2
 SENT = "bucket int, block int, gram binary, context binary, docs binary, runs binary"
@@ -179,9 +245,25 @@ def _rows(schema: str, rows: list[tuple]) -> pa.Table:
     return pa.table([pa.array(c, kinds[kind]) for c, (_, kind) in zip(zip(*rows, strict=True) if rows else [[]] * len(names), names, strict=True)], names=[n for n, _ in names])
 
 
-def _send(buckets: int):
+def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The distinct grams and contexts of the texts of each batch."""
+    for batch in batches:
+        entries = entries_of(*text_buffer(batch.column(0)))
+        first, _ = first_of(entries.context)
+        yield pa.RecordBatch.from_arrays([pa.array(x[first].view(np.int64)) for x in (entries.gram, entries.context)], names=["gram", "context"])
+
+
+def crowded_grams(source: DataFrame) -> tuple[np.ndarray, int]:
+    """Grams with about ``CROWD`` distinct contexts or more, and about how many contexts they have together."""
+    some = source.where(F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(SAMPLED)) == 0).select("text")
+    counted = some.mapInArrow(_contexts, "gram long, context long").distinct().groupBy("gram").agg(F.count("*").alias("n"))
+    found = counted.where(F.col("n") >= CROWD / SAMPLED).toPandas()
+    return np.sort(found["gram"].to_numpy(np.int64).view(np.uint64)), int(found["n"].sum()) * SAMPLED
+
+
+def _send(buckets: int, crowded: np.ndarray):
     def body(key: tuple, table: pa.Table) -> pa.Table:
-        block, rows = Block(table, buckets), []
+        block, rows = Block(table, buckets, crowded), []
         for bucket, part in block.slices:
             at = block.first[part]
             docs, runs = np.unique(block.doc[at], return_counts=True)
@@ -191,35 +273,42 @@ def _send(buckets: int):
     return body
 
 
-def _compare(table: pa.Table) -> pa.Table:
-    """Flags of the entries of one bucket."""
-    gram, context, doc, sizes = [], [], [], []
-    for g, c, d, r in zip(*(table[k].to_pylist() for k in ("gram", "context", "docs", "runs")), strict=True):
-        gram.append(np.frombuffer(g, np.uint32))
-        context.append(np.frombuffer(c, np.uint64))
-        doc.append(np.repeat(np.frombuffer(d, np.int64), np.frombuffer(r, np.uint32)))
-        sizes.append(len(gram[-1]))
-    gram, context, doc = np.concatenate(gram), np.concatenate(context), np.concatenate(doc)
-    _, by_context = first_of(context)
-    covered = doc > smallest(by_context, doc)
-    firsts = np.flatnonzero(~covered)  # one entry of each context, from its smallest document
-    _, by_gram, members = np.unique(gram[firsts], return_inverse=True, return_counts=True)
-    flags = covered.astype(np.uint8) * COVERED
-    flags[firsts[members[by_gram] > 1]] = PARTLY
-    cuts = np.cumsum([0, *sizes])
-    packed = [zlib.compress(flags[a:b].tobytes(), 1) if flags[a:b].any() else None for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-    return _rows(FLAGS, list(zip(table["block"].to_pylist(), table["bucket"].to_pylist(), packed, strict=True)))
+def _compare(crowded: np.ndarray):
+    heads = np.unique((crowded >> np.uint64(32)).astype(np.uint32))
+
+    def body(table: pa.Table) -> pa.Table:
+        """Flags of the entries of one bucket."""
+        gram, context, doc, sizes = [], [], [], []
+        for g, c, d, r in zip(*(table[k].to_pylist() for k in ("gram", "context", "docs", "runs")), strict=True):
+            gram.append(np.frombuffer(g, np.uint32))
+            context.append(np.frombuffer(c, np.uint64))
+            doc.append(np.repeat(np.frombuffer(d, np.int64), np.frombuffer(r, np.uint32)))
+            sizes.append(len(gram[-1]))
+        gram, context, doc = np.concatenate(gram), np.concatenate(context), np.concatenate(doc)
+        _, by_context = first_of(context)
+        covered = doc > smallest(by_context, doc)
+        firsts = np.flatnonzero(~covered)  # one entry of each context, from its smallest document
+        _, by_gram, members = np.unique(gram[firsts], return_inverse=True, return_counts=True)
+        flags = covered.astype(np.uint8) * COVERED
+        flags[firsts[(members[by_gram] > 1) | np.isin(gram[firsts], heads)]] = PARTLY  # a crowded gram's other contexts are elsewhere
+        cuts = np.cumsum([0, *sizes])
+        packed = [zlib.compress(flags[a:b].tobytes(), 1) if flags[a:b].any() else None for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        return _rows(FLAGS, list(zip(table["block"].to_pylist(), table["bucket"].to_pylist(), packed, strict=True)))
+
+    return body
 
 
-def _partly(buckets: int):
+def _partly(buckets: int, crowded: np.ndarray, shards: int):
     def body(key: tuple, table: pa.Table, replies: pa.Table) -> pa.Table:
-        block, rows = Block(table, buckets), []
+        block, rows = Block(table, buckets, crowded), []
         flags = block.answered(replies)
         for bucket, part in block.slices:
-            at = block.first[part][flags[part] == PARTLY]
+            at = block.first[part][(flags[part] == PARTLY) & ~block.apart[part]]
             if len(at):
                 sizes = (block.entries.high[at] - block.entries.low[at] + LEAST).astype(np.uint32)
                 rows.append((bucket, key[0].as_py(), block.doc[at].tobytes(), sizes.tobytes(), block.data[_ranges(block.entries.low[at], sizes)].tobytes()))
+        strings = block.named(flags, buckets, shards)
+        rows += [(bucket, key[0].as_py(), strings.doc[part].tobytes(), None, strings.name[part].tobytes() + strings.other[part].tobytes()) for bucket, part in strings.slices]
         return _rows(BYTES, rows)
 
     return body
@@ -232,8 +321,10 @@ def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 
 def _settle(table: pa.Table) -> pa.Table:
-    """For every string of the contexts of one bucket, whether it stands in a smaller document."""
+    """For every string of the contexts of one bucket, or every name of one, whether it stands in a smaller document."""
     docs = [np.frombuffer(x, np.int64) for x in table["docs"].to_pylist()]
+    if table["sizes"].null_count:
+        return _settle_names(table, docs)
     sizes = [np.frombuffer(x, np.uint32).astype(np.int64) for x in table["sizes"].to_pylist()]
     data = np.frombuffer(b"".join(table["bytes"].to_pylist()), np.uint8)
     doc, size = np.concatenate(docs), np.concatenate(sizes)
@@ -243,14 +334,28 @@ def _settle(table: pa.Table) -> pa.Table:
     shared = bucket >= 0
     covered = np.zeros(len(strings), bool)
     covered[shared] = owner[shared] > smallest(bucket[shared], owner[shared])
-    cuts = np.cumsum([0, *[int((s - LEAST + 1).sum()) for s in sizes]])
+    return _masks(table, covered, [int((s - LEAST + 1).sum()) for s in sizes])
+
+
+def _settle_names(table: pa.Table, docs: list[np.ndarray]) -> pa.Table:
+    pairs = [np.frombuffer(x, np.uint64).reshape(2, -1) for x in table["bytes"].to_pylist()]
+    doc, (name, other) = np.concatenate(docs), np.concatenate(pairs, 1)
+    order = np.lexsort((doc, other, name))
+    fresh = _changes(name[order], other[order])
+    covered = np.zeros(len(doc), bool)
+    covered[order] = doc[order] > doc[order[fresh]][np.cumsum(fresh) - 1]
+    return _masks(table, covered, [len(d) for d in docs])
+
+
+def _masks(table: pa.Table, covered: np.ndarray, sizes: list[int]) -> pa.Table:
+    cuts = np.cumsum([0, *sizes])
     packed = [zlib.compress(np.packbits(covered[a:b]).tobytes(), 1) if covered[a:b].any() else None for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
     return _rows(MASKS, list(zip(table["block"].to_pylist(), table["bucket"].to_pylist(), packed, strict=True)))
 
 
-def _cut(buckets: int, kept: list[str], as_text: bool):
+def _cut(buckets: int, crowded: np.ndarray, shards: int, kept: list[str], as_text: bool):
     def body(table: pa.Table, replies: pa.Table) -> pa.Table:
-        block = Block(table, buckets)
+        block = Block(table, buckets, crowded)
         e, flags = block.entries, block.answered(replies)
         masks = {b: m for b, m in zip(replies["bucket"].to_pylist(), replies["masks"].to_pylist(), strict=True) if m}
         whole = (flags[block.number] == COVERED) | (block.doc > block.doc[block.first][block.number])
@@ -261,11 +366,18 @@ def _cut(buckets: int, kept: list[str], as_text: bool):
         covered, at = [np.zeros(0, bool)], 0
         for bucket, part in block.slices:
             if bucket in masks:
-                partly = np.flatnonzero(flags[part] == PARTLY) + part.start
+                partly = np.flatnonzero((flags[part] == PARTLY) & ~block.apart[part]) + part.start
                 counts = e.high[block.first[partly]] - e.low[block.first[partly]] + 1
                 shown[partly] = at + np.cumsum(counts) - counts
                 covered.append(np.unpackbits(np.frombuffer(zlib.decompress(masks[bucket]), np.uint8), count=int(counts.sum())).astype(bool))
                 at += int(counts.sum())
+        named = block.named(flags, buckets, shards)
+        told = np.zeros(len(named.doc), bool)
+        for bucket, part in named.slices:
+            if bucket in masks:
+                told[part] = np.unpackbits(np.frombuffer(zlib.decompress(masks[bucket]), np.uint8), count=part.stop - part.start).astype(bool)
+        shown[named.contexts] = at + np.cumsum(named.counts) - named.counts
+        covered.append(told[named.number] | (named.owner > named.doc[named.number]))
         bits = np.concatenate(covered)
         some = np.flatnonzero(~whole & (shown[block.number] >= 0))
         counts = e.high[some] - e.low[some] + 1
@@ -303,13 +415,15 @@ def remove(docs: DataFrame, keep: tuple[str, ...] = (), text: str = "text", as_t
     blocks = max(1, -(-total // BLOCK))
     placed = source.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int")).repartition(blocks, "block")
     lean = placed.select("block", "doc_id", "text")
-    sent = lean.groupBy("block").applyInArrow(_send(blocks), SENT)
-    flags = sent.groupBy("bucket").applyInArrow(_compare, FLAGS).where("flags IS NOT NULL")
-    partly = lean.groupBy("block").cogroup(flags.groupBy("block")).applyInArrow(_partly(blocks), BYTES)
+    crowded, contexts = crowded_grams(source)
+    shards = max(1, -(-contexts * (LEAST - GRAM + 1) // NAMES))  # a context has at most so many strings
+    sent = lean.groupBy("block").applyInArrow(_send(blocks, crowded), SENT)
+    flags = sent.groupBy("bucket").applyInArrow(_compare(crowded), FLAGS).where("flags IS NOT NULL")
+    partly = lean.groupBy("block").cogroup(flags.groupBy("block")).applyInArrow(_partly(blocks, crowded, shards), BYTES)
     masks = partly.groupBy("bucket").applyInArrow(_settle, MASKS).where("masks IS NOT NULL")
-    replies = flags.join(masks, ["block", "bucket"], "left")
+    replies = flags.withColumn("masks", F.lit(None).cast("binary")).unionByName(masks.withColumn("flags", F.lit(None).cast("binary")))
     kept = ["doc_id", *named.values()]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields if f.name in kept)
     schema = f"{schema}, rest {'string' if as_text else 'binary'}, spans array<struct<start: long, stop: long>>"
-    cut = placed.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(_cut(blocks, kept, as_text), schema)
+    cut = placed.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(_cut(blocks, crowded, shards, kept, as_text), schema)
     return cut.select("doc_id", *[F.col(n).alias(c) for c, n in named.items()], "rest", "spans")

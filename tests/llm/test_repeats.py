@@ -1,6 +1,8 @@
 import random
 
 import duckdb
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 
 from fairlead.llm import repeats
@@ -58,3 +60,23 @@ def test_odd_rows(spark):
     assert repeats.remove(docs.limit(0)).count() == 0
     cut = repeats.remove(documents(spark, [(1, "é" * 30), (2, "aé" + "é" * 30)]), as_text=True)
     assert {r["doc_id"]: r["rest"] for r in cut.collect()} == {1: "é" * 30, 2: "a"}
+
+
+def test_a_phrase_with_other_neighbours_in_each_document_is_dealt_out(spark, monkeypatch):
+    rng = random.Random(8)
+    letters = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    phrase, tails = "LICENSED UNDER THE TERMS OF THE FILE", [letters(40) for _ in range(60)]
+    rows = [(i, letters(rng.randrange(60)) + phrase + (rng.choice(tails) if i % 3 else letters(40)) + letters(rng.randrange(30))) for i in range(600)]
+    for name, value in (("BLOCK", 6000), ("CROWD", 100), ("SAMPLED", 1), ("NAMES", 1000)):
+        monkeypatch.setattr(repeats, name, value)
+    check(spark, rows)
+    crowded, contexts = repeats.crowded_grams(documents(spark, rows))
+    assert len(crowded) and contexts >= 100
+    # the groups that settle strings, of one block that holds all documents: no group holds much of the phrase's contexts
+    table = pa.table({"doc_id": pa.array([i for i, _ in rows]), "text": pa.array([t for _, t in rows])})
+    key, buckets = (pa.scalar(0, pa.int32()),), 16
+    flags = pa.concat_tables([repeats._compare(crowded)(repeats._send(buckets, crowded)(key, table).filter(pc.field("bucket") == b)) for b in range(buckets)])
+    sizes = {}
+    for r in repeats._partly(buckets, crowded, 64)(key, table, flags).to_pylist():
+        sizes[r["bucket"]] = sizes.get(r["bucket"], 0) + len(r["docs"]) // 8
+    assert len(sizes) > 32 and max(sizes.values()) < 0.1 * sum(sizes.values())
