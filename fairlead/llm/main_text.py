@@ -34,6 +34,10 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 APART_WORDS = re.compile(
     r"(ad|ads|adbox|adslot|advert\w*|adsense|sponsor\w*|promo\w*|banner|navigation|nav|navbar|menu|menubar|breadcrumbs?|sidebar|aside|widget|footer|header|masthead|toolbar|cookies?|consent|gdpr|notice|notification|alert|newsletter|subscribe|subscription|signup|signin|login|popup|modal|overlay|share|sharing|social|related|recommended|recommendations|comments?|commentlist|replies|respond|disqus|discussion|pagination|pager|search|contentinfo|complementary|hidden)"
 )
+#: Compound names of wrappers around content and a part beside it, such as content-sidebar-wrap and has-sidebar.
+LAYOUT = re.compile(rf"(?:[a-z]+[^a-z]+)*?(?:(?:has|with|without|no)[^a-z]+{APART_WORDS.pattern}(?:[^a-z].*)?|(?:content|main|page|site|layout|primary|article|body)[^a-z]+{APART_WORDS.pattern}[^a-z]+(?:wrap\w*|container|layout|grid|row|inner|outer))")
+#: Why a block stands apart: a form, which an article or main part inside ends; a name, which a main part inside ends; for good.
+FORM, NAMED, HARD = 1, 2, 3
 STOP_WORDS = frozenset(
     "the and of to in a is it that was for on with as be at by this are or from an not have but they you his her der die das und in von zu mit den dem ist nicht ein eine auf für im des als auch sich le la les de des et un une est en que qui dans pour pas sur au par avec ce il el los las y del por con para una no lo se su".split()
 )
@@ -55,22 +59,25 @@ class Block:
     good: bool | None = None
 
 
-def _stands_apart(name: str, attributes: str) -> bool:
-    if name in APART:
-        return True
+def _stands_apart(name: str, attributes: str) -> int:
+    if name in APART and name != "form":
+        return HARD
+    found = FORM if name == "form" else 0
     for key, *values in _NAMED.findall(attributes) if attributes.strip() else ():
         key, value = key.lower(), "".join(values).lower()
         if key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-            return True
-        if key in ("class", "id", "role") and any(APART_WORDS.fullmatch(w) for w in re.split(r"[^a-z]+", value)):
-            return True
-    return False
+            return HARD
+        if key in ("class", "id", "role"):
+            words = [w for w in re.split(r"[^a-z]+", value) if APART_WORDS.fullmatch(w)]
+            if words and any(not LAYOUT.fullmatch(v) for v in value.split() for w in re.split(r"[^a-z]+", v) if w in words):
+                found = max(found, HARD if key == "role" or "hidden" in words else NAMED)
+    return found
 
 
 def blocks_of(page: str) -> list[Block]:
     """Blocks of a page in order. One pass over its tags with a stack of the open elements."""
     out: list[Block] = []
-    stack: list[tuple[str, bool, bool]] = []  # name, stands apart, in an article
+    stack: list[tuple[str, int, bool]] = []  # name, why it stands apart, in an article
     depth: dict[str, int] = {}
     parts: list[str] = []
     linked = links = at = 0
@@ -79,9 +86,9 @@ def blocks_of(page: str) -> list[Block]:
         nonlocal linked
         text = " ".join(html.unescape("".join(parts)).split()) if parts else ""
         if text:
-            top = stack[-1] if stack else ("", False, False)
+            top = stack[-1] if stack else ("", 0, False)
             heading = any(depth.get(h) for h in HEADINGS)
-            out.append(Block(text, linked, top[1] and not (heading and top[2] and not any(s[1] and s[0] != "header" for s in stack)), top[2], heading))
+            out.append(Block(text, linked, bool(top[1]) and not (heading and top[2] and not any(s[1] and s[0] != "header" for s in stack)), top[2], heading))
         parts.clear()
         linked = 0
 
@@ -122,7 +129,7 @@ def blocks_of(page: str) -> list[Block]:
                 k = len(stack) - 1
                 while stack[k][0] != name:
                     k -= 1
-                if stack[k][1] != (stack[k - 1][1] if k else False):
+                if bool(stack[k][1]) != bool(k and stack[k - 1][1]):
                     flush()
                 close(k)
                 links = depth.get("a", 0)
@@ -135,12 +142,14 @@ def blocks_of(page: str) -> list[Block]:
             if k >= 0 and stack[k][0] in ends:
                 close(k)
                 links = depth.get("a", 0)
-        apart = _stands_apart(name, attributes) if name not in ("html", "body", "article", "main") else False
-        above = stack[-1] if stack else ("", False, False)
-        if apart and not above[1]:
+        above = stack[-1] if stack else ("", 0, False)
+        main = name == "main" or 'role="main"' in attributes
+        apart = _stands_apart(name, attributes) if name not in ("html", "body", "article", "main") else 0
+        if above[1] > (NAMED if main else FORM if name == "article" else 0):
+            apart = max(apart, above[1])
+        if bool(apart) != bool(above[1]):
             flush()
-        inside = above[2] or name in ("article", "main") or 'role="main"' in attributes
-        stack.append((name, above[1] or apart, inside))
+        stack.append((name, apart, above[2] or main or name == "article"))
         depth[name] = depth.get(name, 0) + 1
         links = depth.get("a", 0)
     flush()
@@ -160,7 +169,7 @@ def classify(blocks: list[Block]) -> list[Block]:
             b.good = True
         elif len(b.text) >= LONG and not b.heading:
             b.good = b.article or stops >= FEW_STOPS / 2
-    article = any(b.article for b in blocks)
+    article = any(b.article and not b.apart for b in blocks)
     region = [b for b in blocks if b.article] if article else [b for b in blocks if not b.apart]
     members = {id(b) for b in region}
     near: dict[int, list[tuple[int, bool]]] = {}

@@ -49,3 +49,20 @@ def test_broken_and_empty_pages(spark):
     df = spark.createDataFrame([(1, "u", None, "x"), (1, "u", None, "x"), (2, None, f"<p>{LONG}", "y")], "page_id long, url string, html string, text string")
     assert sorted((r["page_id"], r["text"]) for r in extract(df).collect()) == [(1, ""), (1, ""), (2, LONG)]
     assert extract(df.limit(0)).count() == 0
+
+
+def test_articles_that_stand_apart_do_not_hide_the_body():
+    body = f"<div><h2>Head</h2><p>{LONG}</p><p>{LONG} again</p></div>"
+    for beside in (f'<section id="comments"><article><p>{LONG} comment</p></article></section>', f"<aside><article><p>{LONG} teaser</p></article></aside>"):
+        text = main_text(f"<body>{body}{beside}</body>")
+        assert LONG in text and f"{LONG} again" in text and "comment" not in text and "teaser" not in text
+
+
+def test_wrappers_and_page_wide_forms_do_not_hide_the_article():
+    for wrapper in ('div class="content-sidebar-wrap"', 'div class="layout has-sidebar"', "form action=x", 'form id="aspnetForm"', 'div id="page-with-sidebar"'):
+        for inside in ("main", "article", 'div role="main"'):
+            page = f"<body><{wrapper}><{inside}><h1>Title</h1><p>{LONG}</p></{inside.split()[0]}><aside>{LONG} aside</aside></{wrapper.split()[0]}></body>"
+            assert main_text(page) == f"Title\n\n{LONG}", page
+    assert main_text(f'<div class="sidebar"><main><p>{LONG}</p></main></div>') == LONG
+    for hidden in ("div hidden", 'div style="display:none"', "nav", "aside", 'div class="sidebar-wrap"', 'div class="related-content"'):
+        assert main_text(f"<{hidden}><article><p>{LONG}</p></article></{hidden.split()[0]}>") == "", hidden
