@@ -1,9 +1,10 @@
 """Toxicity of texts after noisy-channel deobfuscation.
 
 A word in disguise is a lattice: a leetspeak sign may stand for several letters or for nothing, a repeated letter may be one
-letter, and single letters with spaces between may be one word. The restored word is the best path (Viterbi) under the costs of
+letter, and single letters with spaces between may be one word or several. The restored word is the best path (Viterbi) under the costs of
 those disguises and a character trigram model whose counts cover every document. Words that are plain letters have one path and
-are left alone; each worker remembers what it has restored.
+are left alone; signs at a word's ends are read both as letters and as nothing; a token without any letter is a word if its best
+reading is likelier than letters at random; each worker remembers what it has restored.
 
 Words and their beginnings are then scored. Weights come from a bounded sample of the labelled rows (``SAMPLE`` of each label at
 most): features whose share among toxic rows is surely above that among others, then logistic regression by gradient steps. The
@@ -34,12 +35,15 @@ SIGN, DROPPED, KEPT, REPEATED = 1.0, 2.5, 1000.0, 1.0
 # Letters that leetspeak signs stand for.
 SIGNS = {
     "0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g",
-    "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l", "*": "aeiou", ".": "", "-": "", "_": "", "'": "", " ": "",
+    "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l", "*": "aeiou", "#": "h", ".": "", "-": "", "_": "", "'": "", " ": "",
 }
 EDGE, OTHER, KINDS = 0, 27, 28
 _ENDS = re.compile(r"^(?:([^\w\s])\1+|[^\w\s@$!|+(€£])+|(?:([^\w\s])\2+|[^\w\s@$!|+(€£])+$")
 _SPACED = re.compile(r"(?<![^\s])[^\s](?: [^\s]){2,}(?![^\s])")
 _DISGUISED = re.compile(r"[^\W\d_].*[\d\W_]|[\d\W_].*[^\W\d_]|([^\W\d_])\1\1|([^\W\d_])\2.*([^\W\d_])\3", re.S)
+_SIGN = "".join(re.escape(c) for c, letters in SIGNS.items() if letters)
+_BARE_ENDS = re.compile(rf"^(?:[^\w{_SIGN}]|_)+|(?:[^\w{_SIGN}]|_)+$")
+_SIGN_TWICE = re.compile(rf"([{_SIGN}])\1")
 _TWICE = re.compile(r"([^\W\d_])\1")
 
 
@@ -82,8 +86,11 @@ class Restorer:
     def __init__(self, costs: np.ndarray):
         self.costs = costs.tolist()
 
-    def restore(self, word: str, dropped: float = DROPPED) -> str:
-        """The cheapest reading of a lower-case word, where a sign left out costs ``dropped``; linear in its length."""
+    def restore(self, word: str, dropped: float = DROPPED, repeated: float = REPEATED) -> str:
+        """The cheapest reading of a lower-case word, where a sign left out costs ``dropped``; linear in its length.
+
+        Words that are spelled letter by letter are read with spaces where one ends and the next begins.
+        """
         costs = self.costs
         paths: dict[tuple[int, int, str], tuple[float, tuple | None]] = {(EDGE, EDGE, ""): (0.0, None)}
         for c in word:
@@ -96,13 +103,17 @@ class Restorer:
                     if key not in grown or total < grown[key][0]:
                         grown[key] = (total, (letter, back))
                     if letter == last:  # one letter, written again
-                        key, total = (a, b, last), cost + price + REPEATED
+                        key, total = (a, b, last), cost + price + repeated
                         if key not in grown or total < grown[key][0]:
                             grown[key] = (total, back)
-                if not c.isalpha():
+                if not c.isalpha() and (dropped < KEPT or not options):  # a sign that shall stay has a cheaper path as a letter
                     key, total = (a, b, last), cost + (dropped if SIGNS.get(c) else 0.1)
                     if key not in grown or total < grown[key][0]:
                         grown[key] = (total, back)
+                if c == " " and last != " " and back:  # the end of a word
+                    key, total = (b, EDGE, " "), cost + costs[a][b][EDGE]
+                    if key not in grown or total < grown[key][0]:
+                        grown[key] = (total, (" ", back))
             paths = grown
         _, back = min((cost + costs[a][b][EDGE], i, back) for i, ((a, b, _), (cost, back)) in enumerate(paths.items()))[0::2]
         letters = []
@@ -111,16 +122,37 @@ class Restorer:
             letters.append(letter)
         return "".join(reversed(letters))
 
+    def likely(self, reading: str) -> bool:
+        """Whether a reading is likelier than as many letters at random."""
+        kinds = [EDGE, EDGE, *[kind(c) for c in reading], EDGE]
+        return sum(self.costs[a][b][c] for a, b, c in zip(kinds, kinds[1:], kinds[2:])) <= (len(kinds) - 2) * np.log(KINDS)
+
     def readings(self, token: str) -> tuple[str, ...]:
-        """The readings of a token between spaces: its bare letters, the best one, and the best one in which every sign is a letter."""
-        plain = _ENDS.sub("", token.lower())
+        """The readings of a token between spaces, without and with the signs at its ends."""
+        lower = token.lower()
+        plain, whole = _ENDS.sub("", lower), _BARE_ENDS.sub("", lower)
+        found = self._readings(plain)
+        if not any(map(str.isalpha, whole)):
+            if len({c for c in whole if SIGNS.get(c)}) < 2:
+                return found
+            return tuple({x: None for x in self._signed(whole) if self.likely(x)})
+        if whole != plain or _SIGN_TWICE.search(whole):
+            found += (*self.restore(whole).split(), *self._signed(whole))
+        return tuple({x: None for x in found if x})
+
+    def _signed(self, word: str) -> list[str]:
+        """The best reading in which every sign is a letter, and the best one in which it is a letter of its own."""
+        return " ".join([self.restore(word, KEPT), self.restore(word, KEPT, KEPT) if _SIGN_TWICE.search(word) else ""]).split()
+
+    def _readings(self, plain: str) -> tuple[str, ...]:
+        """The readings of a token as it stands: its bare letters, the best one, and the best one in which every sign is a letter."""
         if plain.isalpha() and not _TWICE.search(plain):
             return (plain,)
         if not _DISGUISED.search(plain):
             once = _TWICE.sub(r"\1", plain)  # letters with one of them doubled have two paths; both are read
             return ((plain,) if once == plain else (plain, once)) if plain.isalpha() else ()
         bare = "".join([c for c in plain if c.isalpha()])
-        found = [bare, self.restore(plain)] + [self.restore(plain, KEPT)] * (len(bare) < len(plain))
+        found = [bare, *self.restore(plain).split()] + self.restore(plain, KEPT).split() * (len(bare) < len(plain))
         return tuple({x: None for x in found if x})
 
 

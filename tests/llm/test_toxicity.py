@@ -38,3 +38,13 @@ def test_odd_rows(spark):
     for some in (labels.where("toxic = 0"), labels.limit(0)):
         assert {r["score"] > 0.3 for r in toxicity.score(docs, toxicity.learn_from(docs, some)).collect()} <= {False, True}
     assert toxicity.score(docs.limit(0), toxicity.learn_from(docs.limit(0), labels)).count() == 0
+
+
+def test_signs_at_the_ends_tokens_without_letters_and_spelled_words(spark):
+    docs = documents(spark, [(i, " ".join(WORDS) + " a stupid ass and a dumbass and an ass, shit and you stupid ass") for i in range(50)])
+    restorer = toxicity.Restorer(toxicity.letter_model(docs))
+    for written, word in (("a$$", "ass"), ("dumba$$", "dumbass"), ("a$$!!", "ass"), ("*ss", "ass"), ("455", "ass"), ("5#1+", "shit"), ("a s t u p i d", "stupid"), ("y o u s t u p i d", "stupid")):
+        assert word in restorer.readings(written), (written, restorer.readings(written))
+    assert "stupid" in restorer.readings("stupid!!") and restorer.readings("stupid") == ("stupid",)
+    for written in ("1234", "777", "--", "!!!", "***", ""):
+        assert restorer.readings(written) == (), written
