@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fairlead.llm import byte_bpe, fingerprints, host_reputation, inner_topk, jaccard, language, main_text, packing, repeats, toxicity
+from fairlead.llm import byte_bpe, fingerprints, host_reputation, inner_topk, jaccard, language, main_text, packing, piece_bpe, repeats, toxicity, whitening
 from fairlead.llm.common import table
 
 QUERIES: dict = {}
@@ -177,3 +177,35 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_island_packing")
 def op10_island_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing.pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")))
+
+
+@query("op11_whitening")
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    usable = table(spark, sf_dir, "embeddings").where(whitening.usable(F.col("embedding")))
+    rows = whitening.padded(usable.select("vec_id", whitening.whole_steps(F.col("embedding"), 64, 1_000_000).alias("x")), "x", 1_000_000)
+    model = whitening.fit(rows)
+    if model is None or not len(model.values):
+        return spark.createDataFrame([], "vec_id long, component int, n long, deviation long, whitened double, explained double, identity_error double")
+    explained = F.lit((model.values / model.trace).tolist())
+    each = whitening.whiten(rows, model).select("vec_id", "deviation", F.posexplode("whitened").alias("at", "whitened"))
+    return each.select(
+        "vec_id",
+        (F.col("at") + 1).alias("component"),
+        F.lit(model.n).cast("long").alias("n"),
+        "deviation",
+        "whitened",
+        F.get(explained, F.col("at")).alias("explained"),
+        F.lit(model.identity_error).alias("identity_error"),
+    )
+
+
+@query("op12_piece_bpe")
+def op12_piece_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = piece_bpe.read_model(public_tokenizers.path("piece_bpe_32k.model"))
+    coded = piece_bpe.encode(table(spark, sf_dir, "documents"), model, round_trip=True)
+    return coded.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+    )
