@@ -141,15 +141,17 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
 
     blocks = -(-n_queries // QUERIES)
     bands = F.array(*[F.struct(F.lit(b).alias("band"), F.lit(first[b]).alias("lo"), F.lit(parts[b]).alias("hi")) for b in parts])
-    lookup = F.filter(bands, lambda b: b["band"] == F.col("band"))[0]
-    candidates = vectors.select("vec_id", "v", "band", F.pmod(F.xxhash64("vec_id"), lookup["hi"]).cast("int").alias("part"), lookup["lo"].alias("lo"))
-    copies = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block")
+    lookup = F.get(F.filter(bands, lambda b: b["band"] == F.col("band")), F.lit(0))  # null for rows that an earlier filter has yet to remove
+    candidates = vectors.select("vec_id", "v", "band", F.pmod(F.xxhash64("vec_id", "v"), lookup["hi"]).cast("int").alias("part"), lookup["lo"].alias("lo"))
     queries = queries.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int"))
     run = _search(width, k, axes, lead)
 
     def met(asking: DataFrame, offered: DataFrame) -> DataFrame:
         keys = ("block", "band", "part")
-        return asking.groupBy(*keys).cogroup(offered.select("vec_id", F.col("v").alias("c"), F.col("band").alias("band"), F.col("part").alias("part"), copies).groupBy(*keys)).applyInPandas(run, HITS)
+        pairs = asking.select(F.col("block").alias("to"), F.col("band").alias("b"), F.col("part").alias("p")).distinct()  # a slice goes only to blocks with a query that can gain
+        sent = offered.join(pairs, (F.col("band") == F.col("b")) & (F.col("part") == F.col("p")))
+        sent = sent.select("vec_id", F.col("v").alias("c"), F.col("to").alias("block"), F.col("b").alias("band"), F.col("p").alias("part"))
+        return asking.groupBy(*keys).cogroup(sent.groupBy(*keys)).applyInPandas(run, HITS)
 
     def asked(rows: DataFrame, low: Column, high: Column, fits) -> DataFrame:
         bands_of = rows.select("query_id", "v", "block", "reach", F.explode(F.filter(bands, fits)).alias("b"))

@@ -1,6 +1,7 @@
 import math
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from fairlead.llm import inner_topk
@@ -42,3 +43,16 @@ def test_fewer_candidates_than_k_and_empty(spark):
     assert run(spark, rows, 10) == brute(rows, 10)
     assert run(spark, [], 10) == set()
     assert run(spark, [(3, [1.0])], 10) == set()
+
+
+@pytest.mark.parametrize("odd", [None, [1.0, None], [float("nan"), 1.0], [float("-inf"), 1.0]], ids=["null", "null component", "nan", "infinite"])
+def test_each_kind_of_unusable_vector_alone(spark, odd):
+    rows = [(i, [float(i % 7), float(i % 5)]) for i in range(60)] + [(70, odd)]
+    assert run(spark, rows, 3) == brute(rows, 3)
+
+
+def test_one_id_on_many_rows(spark, monkeypatch):
+    for name, value in (("SLICE", 16), ("QUERIES", 2), ("HEAD", 8)):
+        monkeypatch.setattr(inner_topk, name, value)
+    rows = [(i, [float(i % 7), float(i % 5), 1.0]) for i in range(60)] + [(61, [float(i % 9), 2.0, float(i % 4)]) for i in range(40)]
+    assert run(spark, rows, 4) == brute(rows, 4)
