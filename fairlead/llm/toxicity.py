@@ -82,6 +82,13 @@ def letter_model(docs: DataFrame, text: str = "text") -> np.ndarray:
     return -np.log((n + 10 * double[None]) / (n.sum(2, keepdims=True) + 10))
 
 
+#: What a sign may stand for: letters with their kinds and price.
+_OPTIONS = {c: tuple((x, kind(x), SIGN) for x in letters) for c, letters in SIGNS.items()}
+_ASCII = {chr(c): ((chr(c), kind(chr(c)), 0.0),) for c in range(128) if chr(c).isalpha()}
+#: Signs that never belong to a word where they end it.
+_TAIL = frozenset(".,;:?")
+
+
 class Restorer:
     def __init__(self, costs: np.ndarray):
         self.costs = costs.tolist()
@@ -94,26 +101,36 @@ class Restorer:
         costs = self.costs
         paths: dict[tuple[int, int, str], tuple[float, tuple | None]] = {(EDGE, EDGE, ""): (0.0, None)}
         for c in word:
-            options = [(c, 0.0)] if c.isalpha() else [(x, SIGN) for x in SIGNS.get(c, "")]
+            letter = c.isalpha()
+            options = _ASCII.get(c) or ((c, kind(c), 0.0),) if letter else _OPTIONS.get(c, ())
+            skip = None if letter or not (dropped < KEPT or not options) else dropped if options else 0.1  # a sign that shall stay has a cheaper path as a letter
+            if letter and len(paths) == 1:
+                (((a, b, last), (cost, back)),) = paths.items()
+                if c != last:  # a single path goes on
+                    _, k, _ = options[0]
+                    paths = {(b, k, c): (cost + costs[a][b][k], (c, back))}
+                    continue
             grown: dict[tuple[int, int, str], tuple[float, tuple | None]] = {}
-            for (a, b, last), (cost, back) in paths.items():
-                for letter, price in options:
-                    k = kind(letter)
-                    key, total = (b, k, letter), cost + price + costs[a][b][k]
-                    if key not in grown or total < grown[key][0]:
-                        grown[key] = (total, (letter, back))
-                    if letter == last:  # one letter, written again
-                        key, total = (a, b, last), cost + price + repeated
-                        if key not in grown or total < grown[key][0]:
-                            grown[key] = (total, back)
-                if not c.isalpha() and (dropped < KEPT or not options):  # a sign that shall stay has a cheaper path as a letter
-                    key, total = (a, b, last), cost + (dropped if SIGNS.get(c) else 0.1)
-                    if key not in grown or total < grown[key][0]:
-                        grown[key] = (total, back)
-                if c == " " and last != " " and back:  # the end of a word
-                    key, total = (b, EDGE, " "), cost + costs[a][b][EDGE]
-                    if key not in grown or total < grown[key][0]:
-                        grown[key] = (total, (" ", back))
+            known = grown.get
+            for state, (cost, back) in paths.items():
+                a, b, last = state
+                row = costs[a][b]
+                for x, k, price in options:
+                    key, total = (b, k, x), cost + price + row[k]
+                    if (held := known(key)) is None or total < held[0]:
+                        grown[key] = (total, (x, back))
+                    if x == last:  # one letter, written again
+                        total = cost + price + repeated
+                        if (held := known(state)) is None or total < held[0]:
+                            grown[state] = (total, back)
+                if skip is not None:
+                    total = cost + skip
+                    if (held := known(state)) is None or total < held[0]:
+                        grown[state] = (total, back)
+                    if c == " " and last != " " and back:  # the end of a word
+                        key, total = (b, EDGE, " "), cost + row[EDGE]
+                        if (held := known(key)) is None or total < held[0]:
+                            grown[key] = (total, (" ", back))
             paths = grown
         _, back = min((cost + costs[a][b][EDGE], i, back) for i, ((a, b, _), (cost, back)) in enumerate(paths.items()))[0::2]
         letters = []
@@ -130,6 +147,9 @@ class Restorer:
     def readings(self, token: str) -> tuple[str, ...]:
         """The readings of a token between spaces, without and with the signs at its ends."""
         lower = token.lower()
+        bare = lower[:-1] if lower[-1:] in _TAIL else lower
+        if bare.isalpha():  # nothing stands at the ends
+            return self._readings(bare)
         plain, whole = _ENDS.sub("", lower), _BARE_ENDS.sub("", lower)
         found = self._readings(plain)
         if not any(map(str.isalpha, whole)):
@@ -152,7 +172,9 @@ class Restorer:
             once = _TWICE.sub(r"\1", plain)  # letters with one of them doubled have two paths; both are read
             return ((plain,) if once == plain else (plain, once)) if plain.isalpha() else ()
         bare = "".join([c for c in plain if c.isalpha()])
-        found = [bare, *self.restore(plain).split()] + self.restore(plain, KEPT).split() * (len(bare) < len(plain))
+        found = [bare, *self.restore(plain).split()]
+        if any(map(_OPTIONS.get, plain)):  # without a sign that may be a letter both readings are one
+            found += self.restore(plain, KEPT).split()
         return tuple({x: None for x in found if x})
 
 
@@ -197,7 +219,10 @@ def fit(rows: list[set[str]], toxic: np.ndarray, share: float) -> tuple[dict[str
 
 def _readers(restorer: Restorer, kept, room: int) -> Recent:
     """The features in ``kept`` (None: all) of a token."""
-    return Recent(lambda tokens: [tuple([f for r in restorer.readings(t) for f in features_of(r) if kept is None or f in kept]) for t in tokens], room)
+    if kept is None:
+        return Recent(lambda tokens: [tuple([f for r in restorer.readings(t) for f in features_of(r)]) for t in tokens], room)
+    heads = {f.lstrip("=")[:3] for f in kept}  # few readings begin like a feature
+    return Recent(lambda tokens: [tuple([f for r in restorer.readings(t) if r[:3] in heads for f in features_of(r) if f in kept]) for t in tokens], room)
 
 
 def _row(recent: Recent, text: str | None) -> set[str]:
