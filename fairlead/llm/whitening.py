@@ -1,7 +1,7 @@
 """Whitening by leading eigenvectors of a covariance, found by Chebyshev-filtered subspace iteration.
 
 The fit list is every distinct vector of whole numbers once. A pass over it multiplies the covariance with a block of columns:
-each task subtracts the exact mean from its rows, ``C``, and adds up ``Cᵀ(CQ)``; only that small matrix is shuffled. One filter of
+each task subtracts the exact mean from its rows, ``C``, and adds up ``Cᵀ(CQ)``; only that small matrix leaves the task. One filter of
 degree ``DEGREE`` is as many passes: the Chebyshev recurrence damps what lies between 0 and the smallest Ritz value of the block
 and lets the rest grow. The block is made orthonormal (QR), one more pass gives the Rayleigh-Ritz problem, and the residual norms
 of the wanted pairs say when to stop. The mean is ``S / n`` with whole ``S`` and ``n``, so rows are ``(n * x - S) / n``, rounded once,
@@ -27,6 +27,8 @@ from fairlead.llm.common import cut_lineage
 
 #: Passes of a filter, extra columns of the block, rounds at most, rows multiplied at once.
 DEGREE, EXTRA, ROUNDS, ROWS = 8, 32, 60, 4096
+#: Entries of the fit list in a task of a pass, and sums of tasks that the driver adds up; more are added up by tasks first.
+ENTRIES, GATHERED = 1 << 19, 64
 #: Residual norms wanted, those accepted where rounding allows no better, and eigenvalues that count as none, as shares of the largest eigenvalue.
 SURE, ENOUGH, FLAT = 2e-15, 1e-12, 1e-12
 
@@ -50,6 +52,10 @@ def _rows(column: pa.Array, width: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.int64, copy=False).reshape(-1, width)
 
 
+def _row(total: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["part"])
+
+
 @dataclass
 class Spread:
     """Distinct vectors (``x array<long>``), their number, their sums, and what a pass needs."""
@@ -57,9 +63,10 @@ class Spread:
     fit: DataFrame
     n: int
     sums: np.ndarray
+    tasks: int
 
     def totals(self, columns: int, body) -> np.ndarray:
-        """Sums over all rows of what ``body`` makes of centred rows, ``columns`` numbers a task; tasks are added up by Spark."""
+        """Sums over all rows of what ``body`` makes of centred rows, ``columns`` numbers a task."""
         n, sums = self.n, self.sums
 
         def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -68,12 +75,16 @@ class Spread:
                 for at in range(0, batch.num_rows, ROWS):
                     x = _rows(batch.column(0).slice(at, ROWS), len(sums))
                     total += body((n * x - sums) / n).ravel()
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(columns, dtype=np.int32)), pa.array(total)], names=["cell", "part"])
+            yield _row(total)
+
+        def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            yield _row(sum((np.frombuffer(part.as_py()) for batch in batches for part in batch.column(0)), np.zeros(columns)))
 
-        added = self.fit.mapInArrow(task, "cell int, part double").groupBy("cell").agg(F.sum("part").alias("total")).toPandas()
-        out = np.zeros(columns)
-        out[added["cell"]] = added["total"]
-        return out
+        parts, tasks = self.fit.mapInArrow(task, "part binary"), self.tasks
+        while tasks > GATHERED:
+            tasks = int(np.ceil(np.sqrt(tasks)))
+            parts = parts.repartition(tasks).mapInArrow(add, "part binary")
+        return sum((np.frombuffer(r["part"]) for r in parts.collect()), np.zeros(columns))
 
     def times(self, q: np.ndarray) -> np.ndarray:
         """Covariance times ``q``, one pass."""
@@ -90,7 +101,8 @@ def spread_of(vectors: DataFrame) -> Spread | None:
         return None
     fit = cut_lineage(vectors.select("x").distinct())
     added = fit.agg(F.count("*").alias("n"), *[F.sum(F.col("x")[i]).alias(f"s{i}") for i in range(width)]).first()
-    return Spread(fit, added["n"], np.array(added[1:], np.int64))
+    tasks = min(fit.rdd.getNumPartitions(), -(-added["n"] * width // ENTRIES))
+    return Spread(fit.coalesce(tasks), added["n"], np.array(added[1:], np.int64), tasks)
 
 
 def _filtered(spread: Spread, q: np.ndarray, low: float, high: float) -> np.ndarray:

@@ -46,6 +46,13 @@ def test_far_from_zero_with_copies_and_a_block_smaller_than_the_width(spark, mon
     assert model.n == 300 and set(passes) == {(20, 7)} and len(passes) > whitening.DEGREE
 
 
+def test_sums_of_many_tasks_are_added_up_by_tasks(spark, monkeypatch):
+    monkeypatch.setattr(whitening, "ENTRIES", 20)
+    monkeypatch.setattr(whitening, "GATHERED", 1)
+    x = np.floor(np.random.default_rng(6).normal(size=(200, 6)) * 50).astype(int)
+    compare(spark, x.tolist(), 2)
+
+
 def test_fewer_dimensions_than_components_and_flat_ones(spark):
     rng = np.random.default_rng(2)
     x = np.floor(rng.normal(size=(80, 3)) * 50).astype(int)
