@@ -33,7 +33,9 @@ from fairlead.llm.common import Recent
 #: The sign that stands for a space in pieces.
 SPACE = "▁"
 #: Remembered words and parts of words in each of two generations, longest word remembered, remembered pairs, rows handled at once.
-ROOM, LONGEST, PAIRS, ROWS = 60_000, 64, 1 << 18, 256
+ROOM, LONGEST, PAIRS, ROWS = 100_000, 64, 1 << 18, 256
+#: Lengths of common beginnings that are looked for.
+ALIKE = (12, 10, 8, 7, 6, 5, 4, 3, 0)
 # Fixed values of the model format: kinds of pieces.
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
 
@@ -75,7 +77,7 @@ class Codec:
         self.apart = not any(a != SPACE and b == SPACE for a, b in self.together)  # words may be encoded one by one
         self.fits = lru_cache(PAIRS)(self._fits)
         self.history = lru_cache(len(ids) + 1)(self._history)
-        self.words, self.parts = Recent(self._learn, room), Recent(lambda parts: map(self.ids_of, parts), room)
+        self.words, self.parts = Recent(self._learn, room), Recent(lambda parts: map(self.ids_of, parts), max(1, room // 8))
         self.surface = [self._surface(p, kind, model.unknown_text) for p, _, kind in model.pieces]
         self.text_of = [b"" if isinstance(s, int) and s > 0x7F else bytes([s]) if isinstance(s, int) else s for s in self.surface]
         self.partial = np.array([isinstance(s, int) and s > 0x7F for s in self.surface])
@@ -119,20 +121,26 @@ class Codec:
             else:
                 j += 1
 
-    def ids_of(self, part: str) -> bytes:
-        """The ids of a piece of normalised text, as the bytes of 32-bit numbers."""
-        last, fits, done = list(part), self.fits, -1
+    def ids_of(self, part: str, last: list[str] | None = None, same: int = 0) -> bytes:
+        """The ids of a piece of normalised text, as the bytes of 32-bit numbers.
+
+        ``last`` is the table: the last token of each prefix. It may come from a text with the same first ``same`` characters.
+        """
+        last = [] if last is None else last
+        last[same:] = part[same:]
+        fits, done = self.fits, -1
         for end, (token, size) in self.found.iter(part):
-            if end != done:  # a prefix has one last token
+            if end >= same and end != done:  # a prefix has one last token
                 start = end - size
                 if fits(last[start], token) if start >= 0 else self.history(token)[0]:
                     last[end], done = token, end
-        out, at = [], len(part) - 1
+        out, at, packed = [], len(part) - 1, self.packed
         while at >= 0:
             token = last[at]
-            out.append(self.packed.get(token) or np.array([self.bytes[b] for b in token.encode()], "<i4").tobytes())
+            out.append(packed.get(token) or np.array([self.bytes[b] for b in token.encode()], "<i4").tobytes())
             at -= len(token)
-        return b"".join(reversed(out))
+        out.reverse()
+        return b"".join(out)
 
     def _cut(self, word: str) -> list[str]:
         """The parts of normalised text that no merge joins."""
@@ -141,24 +149,44 @@ class Codec:
         return [word[a:b] for a, b in zip(cuts, [*cuts[1:], len(word)])]
 
     def _learn(self, words: list[str]) -> list[bytes]:
-        cut = [self._cut(SPACE + w) for w in words]
-        short = {p for parts in cut for p in parts if len(p) <= LONGEST}
+        """The ids of words that a space precedes; a word with other signs is looked up part by part."""
+        cut = {w: self._cut(SPACE + w) for w in words if not w.isalpha()}
+        led = {p[1:] for parts in cut.values() for p in parts if p[0] == SPACE and len(p) <= LONGEST and p[1:].isalpha()}
+        young, old = self.words.young, self.words.old
+        ids = {w: found for w in led if (found := young.get(w) or old.get(w))}
+        table, before = [], ""
+        for w in sorted({*led, *words}.difference(cut, ids)):  # neighbours begin alike
+            part = SPACE + w
+            for same in ALIKE:
+                if part[:same] == before[:same]:
+                    break
+            ids[w], before = self.ids_of(part, table, same), part
+        short = {p for parts in cut.values() for p in parts if len(p) <= LONGEST and p[1:] not in led}
         known = self.parts.lookup(short)
-        return [b"".join([known(p) if p in short else self.ids_of(p) for p in parts]) for parts in cut]
+        for w, parts in cut.items():
+            ids[w] = b"".join([ids[p[1:]] if p[0] == SPACE and p[1:] in led else known(p) if p in short else self.ids_of(p) for p in parts])
+        return [ids[w] for w in words]
 
-    def encode(self, text: str) -> np.ndarray:
+    def _words(self, text: str) -> list[str]:
+        """The words of a text without the space before each."""
         if not text:
-            return np.zeros(0, "<i4")
+            return []
         if not self.apart:
-            return np.frombuffer(self._learn([text.replace(" ", SPACE)])[0], "<i4")
+            return [text.replace(" ", SPACE)]
         if "  " in text or SPACE in text or text[0] == " " or text[-1] == " ":
-            words = [run[1:] for run in re.findall(f"{SPACE}+[^{SPACE}]*", SPACE + text.replace(" ", SPACE))]
-        else:
-            words = text.split(" ")
-        if max(map(len, words)) > LONGEST:
-            known = self.words.lookup({w for w in words if len(w) <= LONGEST})
-            return np.frombuffer(b"".join([known(w) if len(w) <= LONGEST else self._learn([w])[0] for w in words]), "<i4")
-        return np.frombuffer(b"".join(map(self.words.lookup(words), words)), "<i4")
+            return [run[1:] for run in re.findall(f"{SPACE}+[^{SPACE}]*", SPACE + text.replace(" ", SPACE))]
+        return text.split(" ")
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text."""
+        rows = [self._words(t) for t in texts]
+        wanted = {w for row in rows for w in row}
+        long = {w for w in wanted if len(w) > LONGEST}
+        known = self.words.lookup(wanted - long)
+        if long:
+            found = dict(zip(long, self._learn([*long]), strict=True))
+            return [np.frombuffer(b"".join([found[w] if w in found else known(w) for w in row]), "<i4") for row in rows]
+        return [np.frombuffer(b"".join(map(known, row)), "<i4") for row in rows]
 
     def decode(self, ids: Iterable[int]) -> str:
         """Pieces joined, the first one without its leading space, bytes read as UTF-8 (one replacement sign for each byte that is not)."""
@@ -215,7 +243,7 @@ def encode(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str, .
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS):
                 part = batch.slice(at, ROWS)
-                found = [codec.encode(t or "") for t in part.column(part.num_columns - 1).to_pylist()]
+                found = codec.encode([t or "" for t in part.column(part.num_columns - 1).to_pylist()])
                 ends = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int32)
                 columns = [*part.columns[:-1], pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found).astype(np.int32)))]
                 if round_trip:
