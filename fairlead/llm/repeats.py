@@ -16,7 +16,7 @@ has no bucket of its own: in step 2 its entries are dealt by context, and in ste
 distinct string once, with its smallest document, dealt by name. Crowded grams are found on one document in ``SAMPLED``; which
 ones are found changes only how the work is dealt, never the result.
 
-Blocks and buckets have bounded sizes whatever the number of copies or of contexts of a gram. A null text counts as empty; rows without an id are left
+Inside a bucket, strings are refined gram by gram in pieces of about ``PIECE`` bytes. Blocks and buckets have bounded sizes whatever the number of copies or of contexts of a gram. A null text counts as empty; rows without an id are left
 out; rows that repeat an id are one document's texts, in which no text removes another. Bytes are those of UTF-8.
 """
 
@@ -39,6 +39,8 @@ LEAST, GRAM = 50, 16
 BLOCK, CHUNK = 8 << 20, 1 << 19
 #: Distinct contexts from which a gram is crowded; one document in so many is searched for such grams; names of strings in a bucket on average.
 CROWD, SAMPLED, NAMES = 1 << 15, 64, 1 << 19
+#: Bytes of a bucket that are refined at once; one gram's bytes stay together.
+PIECE = 1 << 20
 _BYTES = np.random.Generator(np.random.PCG64(50)).integers(0, 1 << 64, 256, np.uint64)
 _OTHERS = np.random.Generator(np.random.PCG64(51)).integers(0, 1 << 64, 256, np.uint64)
 
@@ -121,7 +123,7 @@ def refined(data: np.ndarray, strings: np.ndarray, least: int = LEAST, q: int =
     ``bucket`` holds the bucket of every position at the present depth, -1 where it is alone in it. A position is sorted on its
     own bucket and the bucket ``shift`` further on; it stays alone if either is.
     """
-    padded = np.concatenate([data, np.zeros(least, np.uint8)]).astype(np.uint64)
+    padded = np.concatenate([data, np.zeros(least, np.uint8)])
     value = np.zeros(len(data), np.uint64)
     for k in range(q):
         value = value << np.uint64(8) | padded[k : k + len(data)]
@@ -163,10 +165,10 @@ def names_of(data: np.ndarray, low: np.ndarray, counts: np.ndarray, least: int =
 
 
 def _buckets(keys: np.ndarray, members: np.ndarray, size: int) -> np.ndarray:
-    out = np.full(size, -1, np.int64)
+    out = np.full(size, -1, np.int32)
     if len(keys):
         _, number, count = np.unique(keys, return_inverse=True, return_counts=True)
-        out[members] = np.where(count[number] > 1, number, -1)
+        out[members] = np.where(count > 1, np.arange(len(count), dtype=np.int32), np.int32(-1))[number]
     return out
 
 
@@ -235,7 +237,7 @@ class Named:
 COVERED, PARTLY = 1, 2
 SENT = "bucket int, block int, gram binary, context binary, docs binary, runs binary"
 FLAGS = "block int, bucket int, flags binary"
-BYTES = "bucket int, block int, docs binary, sizes binary, bytes binary"
+BYTES = "bucket int, block int, docs binary, sizes binary, grams binary, bytes binary"
 MASKS = "block int, bucket int, masks binary"
 
 
@@ -306,9 +308,10 @@ def _partly(buckets: int, crowded: np.ndarray, shards: int):
             at = block.first[part][(flags[part] == PARTLY) & ~block.apart[part]]
             if len(at):
                 sizes = (block.entries.high[at] - block.entries.low[at] + LEAST).astype(np.uint32)
-                rows.append((bucket, key[0].as_py(), block.doc[at].tobytes(), sizes.tobytes(), block.data[_ranges(block.entries.low[at], sizes)].tobytes()))
+                grams = (block.entries.gram[at] >> np.uint64(32)).astype(np.uint32)
+                rows.append((bucket, key[0].as_py(), block.doc[at].tobytes(), sizes.tobytes(), grams.tobytes(), block.data[_ranges(block.entries.low[at], sizes)].tobytes()))
         strings = block.named(flags, buckets, shards)
-        rows += [(bucket, key[0].as_py(), strings.doc[part].tobytes(), None, strings.name[part].tobytes() + strings.other[part].tobytes()) for bucket, part in strings.slices]
+        rows += [(bucket, key[0].as_py(), strings.doc[part].tobytes(), None, None, strings.name[part].tobytes() + strings.other[part].tobytes()) for bucket, part in strings.slices]
         return _rows(BYTES, rows)
 
     return body
@@ -326,17 +329,35 @@ def _settle(table: pa.Table) -> pa.Table:
     if table["sizes"].null_count:
         return _settle_names(table, docs)
     sizes = [np.frombuffer(x, np.uint32).astype(np.int64) for x in table["sizes"].to_pylist()]
+    grams = np.concatenate([np.frombuffer(x, np.uint32) for x in table["grams"].to_pylist()])
     data = np.frombuffer(b"".join(table["bytes"].to_pylist()), np.uint8)
     doc, size = np.concatenate(docs), np.concatenate(sizes)
-    strings = _ranges(np.cumsum(size) - size, size - LEAST + 1)
-    owner = np.repeat(doc, size - LEAST + 1)
-    bucket = refined(data, strings)
-    shared = bucket >= 0
-    covered = np.zeros(len(strings), bool)
-    covered[shared] = owner[shared] > smallest(bucket[shared], owner[shared])
+    counts = size - LEAST + 1
+    begins, numbers = np.cumsum(size) - size, np.cumsum(counts) - counts
+    covered = np.zeros(int(counts.sum()), bool)
+    order = np.argsort(grams, kind="stable")  # equal strings have equal grams, so a bucket falls into pieces
+    for some in _pieces(order, grams, size):
+        piece = data[_ranges(begins[some], size[some])]
+        owner = np.repeat(doc[some], counts[some])
+        bucket = refined(piece, _ranges(np.cumsum(size[some]) - size[some], counts[some]))
+        shared = np.flatnonzero(bucket >= 0)
+        later = owner[shared] > smallest(bucket[shared], owner[shared])
+        covered[_ranges(numbers[some], counts[some])[shared[later]]] = True
     return _masks(table, covered, [int((s - LEAST + 1).sum()) for s in sizes])
 
 
+def _pieces(order: np.ndarray, grams: np.ndarray, size: np.ndarray) -> Iterator[np.ndarray]:
+    """Contexts in order of their grams, in pieces of about ``PIECE`` bytes; no gram is split."""
+    ends = np.cumsum(size[order])
+    last = np.flatnonzero(np.append(grams[order][1:] != grams[order][:-1], True))  # of each gram
+    at = 0
+    while at < len(order):
+        fits = int(np.searchsorted(ends[last], (ends[at - 1] if at else 0) + PIECE, "right")) - 1
+        stop = int(last[max(fits, int(np.searchsorted(last, at)))]) + 1
+        yield order[at:stop]
+        at = stop
+
+
 def _settle_names(table: pa.Table, docs: list[np.ndarray]) -> pa.Table:
     pairs = [np.frombuffer(x, np.uint64).reshape(2, -1) for x in table["bytes"].to_pylist()]
     doc, (name, other) = np.concatenate(docs), np.concatenate(pairs, 1)
@@ -413,7 +434,7 @@ def remove(docs: DataFrame, keep: tuple[str, ...] = (), text: str = "text", as_t
     source = docs.where("doc_id IS NOT NULL").select("doc_id", *[F.col(f"`{c}`").alias(n) for c, n in named.items()], F.col(text).alias("text"))
     total = source.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     blocks = max(1, -(-total // BLOCK))
-    placed = source.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int")).repartition(blocks, "block")
+    placed = source.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int")).repartition(blocks, "block")
     lean = placed.select("block", "doc_id", "text")
     crowded, contexts = crowded_grams(source)
     shards = max(1, -(-contexts * (LEAST - GRAM + 1) // NAMES))  # a context has at most so many strings

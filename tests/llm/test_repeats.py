@@ -31,6 +31,7 @@ def check(spark, rows):
 @pytest.mark.parametrize("block", [1 << 30, 20_000])
 def test_documents_against_brute_force(spark, monkeypatch, block):
     monkeypatch.setattr(repeats, "BLOCK", block)
+    monkeypatch.setattr(repeats, "PIECE", 2000)
     check(spark, duckdb.sql(f"select doc_id, text from '{SF}/documents.parquet'").fetchall())
 
 
