@@ -29,6 +29,8 @@ from fairlead.llm.shingles import document_sets, set_id
 WORDS, PERCENT = 5, 80
 #: Cells of the count table (bits), nodes in a block, fragments of the order, rows and columns of a matrix product.
 CELL_BITS, BLOCK, FRAGMENTS, ROWS, COLUMNS = 18, 2048, 8, 512, 4096
+#: Members of groups that are sifted together on average; members of a group that are compared pair by pair at most.
+SHARD, FEW = 8192, 12
 _PART_BITS = 12
 
 
@@ -38,7 +40,7 @@ def _cells(words: int):
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 grams = np.concatenate([*document_sets(batch.column(0).slice(at, 500), words)])
-                total += np.bincount((grams >> np.uint64(64 - CELL_BITS)).astype(np.int64), minlength=len(total))
+                total += np.bincount(cells_of(grams), minlength=len(total))
         parts = total.reshape(-1, 1 << _PART_BITS)
         yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], names=["part", "counts"])
 
@@ -52,22 +54,30 @@ def _sum_cells(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"part": rows["part"].iloc[:1], "counts": [total.tobytes()]})
 
 
-def order_of(docs: DataFrame, words: int = WORDS) -> np.ndarray:
-    """The level of each cell in the global order: 0 for cells near the mean count of all documents, more for heavier ones."""
+def order_of(docs: DataFrame, words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
+    """Of each cell its level in the global order (0 near the mean count of all documents, more for heavier cells) and its fragment.
+
+    The order is by level, then by cell; fragments are stretches of it with equal shares of all n-grams.
+    """
     schema = "part int, counts binary"
     summed = docs.select("text").mapInArrow(_cells(words), schema).groupBy("part").applyInPandas(_sum_cells, schema).toPandas()
     counts = np.zeros((1 << CELL_BITS - _PART_BITS, 1 << _PART_BITS), np.int64)
     for part, row in zip(summed["part"], summed["counts"], strict=True):
         counts[part] = np.frombuffer(row, np.int64)
     mean = max(1.0, counts.mean())
-    return np.clip(np.log2(np.maximum(counts.ravel(), 1) / (2 * mean)), 0, 60).astype(np.uint8)
+    counts = counts.ravel()
+    levels = np.clip(np.log2(np.maximum(counts, 1) / (2 * mean)), 0, 60).astype(np.uint8)
+    order = np.argsort(levels, kind="stable")
+    fragments = np.zeros(len(counts), np.uint8)
+    fragments[order] = np.minimum(FRAGMENTS - 1, (np.cumsum(counts[order]) - counts[order]) * FRAGMENTS // max(1, counts.sum()))
+    return levels, fragments
 
 
 def prefix_of(hashes: np.ndarray, levels: np.ndarray, percent: int = PERCENT) -> np.ndarray:
     """The first n-grams of a set in the global order; two sets that link share one of them."""
     n = len(hashes)
     size = n - -(-percent * n // 100) + 1
-    level = levels[(hashes >> np.uint64(64 - CELL_BITS)).astype(np.int64)]
+    level = levels[cells_of(hashes)]
     if not level.any():
         return hashes[:size]
     return hashes[np.argsort(level, kind="stable")[:size]]
@@ -150,8 +160,15 @@ class Forest:
         return x != y
 
 
-def linking(left: list[np.ndarray], right: list[np.ndarray] | None, percent: int = PERCENT) -> list[tuple[int, int]]:
-    """Links (i, j) between ``left`` and ``right`` (None: within left) that join separate parts; overlaps are counted fragment by fragment."""
+def cells_of(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> np.uint64(64 - CELL_BITS)).astype(np.int64)
+
+
+def linking(left: list[np.ndarray], right: list[np.ndarray] | None, fragments: np.ndarray, percent: int = PERCENT) -> list[tuple[int, int]]:
+    """Links (i, j) between ``left`` and ``right`` (None: within left) that join separate parts.
+
+    Each fragment of the global order has its own partial overlaps of all pairs, which are summed per pair.
+    """
     within = right is None
     sets = left if within else left + right
     sizes = np.array([len(s) for s in sets], np.int64)
@@ -159,8 +176,9 @@ def linking(left: list[np.ndarray], right: list[np.ndarray] | None, percent: int
     forest, found = Forest(len(sets)), []
     if len(sets) < 2:
         return found
-    cuts = np.array([(f << 64) // FRAGMENTS for f in range(1, FRAGMENTS)], np.uint64)
-    at = np.array([np.concatenate([[0], np.searchsorted(s, cuts), [len(s)]]) for s in sets])
+    places = [fragments[cells_of(x)] for x in sets]
+    at = np.array([np.concatenate([[0], np.cumsum(np.bincount(p, minlength=FRAGMENTS))]) for p in places])
+    sets = [x[np.argsort(p, kind="stable")] for x, p in zip(sets, places, strict=True)]
     coded = []  # each fragment: members' n-grams that occur at least twice, as column numbers
     for f in range(FRAGMENTS):
         flat = np.concatenate([s[a:b] for s, a, b in zip(sets, at[:, f], at[:, f + 1], strict=True)])
@@ -234,25 +252,56 @@ def possible(sizes: np.ndarray, sketches: list[bytes], right: np.ndarray | None,
     return out
 
 
+def _possible_few(sizes: list[int], sketches: list[bytes], right: list[bool] | None, percent: int) -> list[int]:
+    """``possible`` for a handful of members, pair by pair; the places of those that may link."""
+    found: set[int] = set()
+    numbers = [int.from_bytes(s, "big") for s in sketches]
+    for i in range(1, len(sizes)):
+        for j in range(i):
+            if (i in found and j in found) or (right is not None and right[i] == right[j]):
+                continue
+            total, small, large = sizes[i] + sizes[j], i, j
+            if 100 * min(sizes[i], sizes[j]) < percent * max(sizes[i], sizes[j]):
+                continue
+            if len(sketches[small]) > len(sketches[large]):
+                small, large = large, small
+            width, wide, folded = 8 * len(sketches[small]), 8 * len(sketches[large]), numbers[large]
+            while wide > width:
+                wide //= 2
+                folded = folded >> wide ^ folded & (1 << wide) - 1
+            if (100 + percent) * (numbers[small] ^ folded).bit_count() <= (100 - percent) * total:
+                found |= {i, j}
+    return sorted(found)
+
+
 def _sift(percent: int):
-    def body(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        x, y = key[1], key[2]
-        rows = rows.sort_values("node").reset_index(drop=True)
-        right = None if x == y else (rows["part"] == y).to_numpy()
-        may = possible(rows["n"].to_numpy(), rows["sketch"].tolist(), right, percent)
-        return rows.loc[may, ["hub", "x", "y", "part", "node"]]
+    def body(table: pa.Table) -> pa.Table:
+        """The members of the groups of a shard that may link with another member."""
+        table = table.sort_by([("hub", "ascending"), ("x", "ascending"), ("y", "ascending"), ("node", "ascending")])
+        hub, x, y, part, n = (table[c].to_numpy() for c in ("hub", "x", "y", "part", "n"))
+        sketches = table["sketch"].combine_chunks() if isinstance(table["sketch"], pa.ChunkedArray) else table["sketch"]
+        fresh = np.concatenate([[True], (hub[1:] != hub[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])])[: len(hub)]
+        cuts, kept = [*np.flatnonzero(fresh).tolist(), len(hub)], []
+        for a, b in zip(cuts, cuts[1:]):
+            right = None if x[a] == y[a] else part[a:b] == y[a]
+            own = sketches.slice(a, b - a).to_pylist()
+            if b - a <= FEW:
+                kept += [a + i for i in _possible_few(n[a:b].tolist(), own, None if right is None else right.tolist(), percent)]
+            else:
+                kept += (a + np.flatnonzero(possible(n[a:b], own, right, percent))).tolist()
+        return table.select(["hub", "x", "y", "part", "node"]).take(pa.array(kept, pa.int64()))
 
     return body
 
 
-def _verify(words: int, percent: int):
+def _verify(words: int, percent: int, fragments: np.ndarray):
     def body(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         x, y = key[1], key[2]
         rows = rows.drop_duplicates("node").sort_values("node")
         parts = [rows[rows["part"] == x]] + ([rows[rows["part"] == y]] if y != x else [])
         sets = [list(document_sets(pa.array(p["text"], pa.string()), words)) for p in parts]
         names = np.concatenate([p["node"].to_numpy() for p in parts])
-        found = np.array(linking(sets[0], sets[1] if len(sets) > 1 else None, percent), np.int64).reshape(-1, 2)
+        found = np.array(linking(sets[0], sets[1] if len(sets) > 1 else None, fragments, percent), np.int64).reshape(-1, 2)
         return pd.DataFrame({"a": names[found[:, 0]], "b": names[found[:, 1]]})
 
     return body
@@ -260,7 +309,7 @@ def _verify(words: int, percent: int):
 
 def links(docs: DataFrame, named: DataFrame, words: int = WORDS, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
     """``a, b``: links between nodes that make up the components of all links. ``docs``: doc_id, text; ``named``: node, n, sketch."""
-    levels = order_of(docs, words)
+    levels, fragments = order_of(docs, words)
     grams = docs.select("text").mapInArrow(_prefixes(words, levels, percent), "gram long, node long")
     over = Window.partitionBy("gram")
     shared = grams.select("node", F.min("node").over(over).alias("hub"), F.max("node").over(over).alias("last")).where("hub <> last")
@@ -272,9 +321,11 @@ def links(docs: DataFrame, named: DataFrame, words: int = WORDS, percent: int =
     meets = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     placed = placed.select("hub", "node", "part", meets).select("hub", "node", "part", F.least("part", "other").alias("x"), F.greatest("part", "other").alias("y"))
     sketches = named.where("sketch IS NOT NULL").groupBy("node").agg(F.max("n").alias("n"), F.max("sketch").alias("sketch"))
-    likely = placed.join(sketches, "node").groupBy("hub", "x", "y").applyInPandas(_sift(percent), "hub long, x int, y int, part int, node long")
+    rows = sizes.agg(F.sum(F.col("m") * F.ceil(F.col("m") / block))).first()[0] or 0
+    shard = F.pmod(F.xxhash64("hub", "x", "y"), F.lit(max(1, -(-int(rows) // SHARD)))).alias("shard")
+    likely = placed.join(sketches, "node").withColumn("shard", shard).groupBy("shard").applyInArrow(_sift(percent), "hub long, x int, y int, part int, node long")
     texts = docs.select("text").mapInArrow(_node_texts(words), "node long, text string")
-    checked = cut_lineage(likely).join(texts, "node").groupBy("hub", "x", "y").applyInPandas(_verify(words, percent), "a long, b long")
+    checked = cut_lineage(likely).join(texts, "node").groupBy("hub", "x", "y").applyInPandas(_verify(words, percent, fragments), "a long, b long")
     return checked.where("a <> b").distinct()
 
 

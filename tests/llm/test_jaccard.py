@@ -1,6 +1,7 @@
 import random
 
 import duckdb
+import numpy as np
 import pyarrow as pa
 import pytest
 
@@ -63,3 +64,23 @@ def test_sets_have_the_right_sizes():
 def test_components_of_a_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 90), (90, 95)], "a long, b long")
     assert {r["node"]: r["component"] for r in components(edges).collect()} == {**{i: 0 for i in range(41)}, 90: 90, 95: 90, 100: 90}
+
+
+def test_a_handful_is_sifted_without_losing_a_link():
+    rng = np.random.default_rng(4)
+    for _ in range(200):
+        base = rng.integers(0, 1 << 63, int(rng.integers(5, 60))).astype(np.uint64)
+        sets = [np.unique(np.concatenate([base[rng.random(len(base)) < 0.9], rng.integers(0, 1 << 63, int(rng.integers(0, 12))).astype(np.uint64)])) for _ in range(int(rng.integers(2, 9)))]
+        sizes, sketches = np.array([len(s) for s in sets]), [jaccard.sketch_of(s) for s in sets]
+        for right in (None, rng.random(len(sets)) < 0.5):
+            many = np.flatnonzero(jaccard.possible(sizes, sketches, right)).tolist()
+            few = jaccard._possible_few(sizes.tolist(), sketches, None if right is None else right.tolist(), 80)
+            pairs = [(i, j) for i in range(len(sets)) for j in range(i) if right is None or right[i] != right[j]]
+            linked = {k for i, j in pairs if 100 * len(np.intersect1d(sets[i], sets[j])) >= 80 * len(np.union1d(sets[i], sets[j])) for k in (i, j)}
+            assert linked <= set(few) <= set(many)
+
+
+def test_fragments_cut_the_global_order(spark, families):
+    levels, fragments = jaccard.order_of(documents(spark, families))
+    order = np.lexsort((np.arange(len(levels)), levels))
+    assert (np.diff(fragments[order].astype(int)) >= 0).all() and set(fragments) == set(range(jaccard.FRAGMENTS))
