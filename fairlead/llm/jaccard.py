@@ -31,6 +31,8 @@ WORDS, PERCENT = 5, 80
 CELL_BITS, BLOCK, FRAGMENTS, ROWS, COLUMNS = 18, 2048, 8, 512, 4096
 #: Members of groups that are sifted together on average; members of a group that are compared pair by pair at most.
 SHARD, FEW = 8192, 12
+#: Bytes of the bitmap that tells which texts are compared, at most; where it is full, texts are sent that need not be.
+MARKS = 1 << 24
 _PART_BITS = 12
 
 
@@ -125,14 +127,25 @@ def _prefixes(words: int, levels: np.ndarray, percent: int):
     return body
 
 
-def _node_texts(words: int):
+def marks_of(nodes: DataFrame) -> np.ndarray:
+    """A bitmap with about eight places for each of ``nodes (node)``, of ``MARKS`` bytes at most; a node without a mark is not among them."""
+    bits = min(8 * MARKS, 1 << max(15, (8 * nodes.count()).bit_length()))
+    place = F.col("node").bitwiseAND(F.lit(bits - 1).cast("long")) + 1
+    parts = nodes.groupBy(F.bitmap_bucket_number(place).alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("marks")).collect()
+    out = np.zeros((bits >> 15, 1 << 12), np.uint8)
+    for r in parts:
+        out[r["part"] - 1] = np.frombuffer(r["marks"], np.uint8)
+    return out.ravel()
+
+
+def _node_texts(words: int, marks: np.ndarray):
     def body(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
             keep, nodes = [], []
             for i, s in enumerate(document_sets(batch.column(0), words)):
                 node = set_id(s) if len(s) else None
-                if node is not None and node not in seen:
+                if node is not None and node not in seen and marks[(at := node & 8 * len(marks) - 1) >> 3] >> (at & 7) & 1:
                     seen.add(node)
                     keep.append(i)
                     nodes.append(node)
@@ -307,6 +320,15 @@ def _verify(words: int, percent: int, fragments: np.ndarray):
     return body
 
 
+def needed(members: DataFrame) -> DataFrame:
+    """``hub, m`` of the hubs whose members do not all belong to one smaller hub as well, where all their pairs meet anyhow."""
+    sizes = members.groupBy("hub").agg(F.count("*").alias("m"))
+    smaller = members.groupBy("node").agg(F.min("hub").alias("top")).where("top < node").select(F.col("node").alias("hub"), "top")
+    again = members.join(smaller, "hub").select(F.col("hub").alias("inner"), F.col("top").alias("hub"), "node")
+    told = members.join(again, ["hub", "node"]).groupBy("inner").agg(F.count("*").alias("also"))
+    return sizes.join(told, F.col("hub") == F.col("inner"), "left").where("also IS NULL OR also < m").select("hub", "m")
+
+
 def links(docs: DataFrame, named: DataFrame, words: int = WORDS, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
     """``a, b``: links between nodes that make up the components of all links. ``docs``: doc_id, text; ``named``: node, n, sketch."""
     levels, fragments = order_of(docs, words)
@@ -314,7 +336,7 @@ def links(docs: DataFrame, named: DataFrame, words: int = WORDS, percent: int =
     over = Window.partitionBy("gram")
     shared = grams.select("node", F.min("node").over(over).alias("hub"), F.max("node").over(over).alias("last")).where("hub <> last")
     members = cut_lineage(shared.select("hub", "node").distinct())
-    sizes = members.groupBy("hub").agg(F.count("*").alias("m"))
+    sizes = needed(members)
     blocks = F.ceil(F.col("m") / block).cast("int")
     placed = members.join(sizes, "hub").select("hub", "node", blocks.alias("blocks"), F.pmod(F.xxhash64("node"), blocks).cast("int").alias("part"))
     # a node meets its own block and every other block once
@@ -324,8 +346,10 @@ def links(docs: DataFrame, named: DataFrame, words: int = WORDS, percent: int =
     rows = sizes.agg(F.sum(F.col("m") * F.ceil(F.col("m") / block))).first()[0] or 0
     shard = F.pmod(F.xxhash64("hub", "x", "y"), F.lit(max(1, -(-int(rows) // SHARD)))).alias("shard")
     likely = placed.join(sketches, "node").withColumn("shard", shard).groupBy("shard").applyInArrow(_sift(percent), "hub long, x int, y int, part int, node long")
-    texts = docs.select("text").mapInArrow(_node_texts(words), "node long, text string")
-    checked = cut_lineage(likely).join(texts, "node").groupBy("hub", "x", "y").applyInPandas(_verify(words, percent, fragments), "a long, b long")
+    likely = cut_lineage(likely)
+    marks = marks_of(likely.select("node").distinct())  # most texts meet no other and stay where they are
+    texts = docs.select("text").mapInArrow(_node_texts(words, marks), "node long, text string")
+    checked = likely.join(texts, "node").groupBy("hub", "x", "y").applyInPandas(_verify(words, percent, fragments), "a long, b long")
     return checked.where("a <> b").distinct()
 
 

@@ -84,3 +84,10 @@ def test_fragments_cut_the_global_order(spark, families):
     levels, fragments = jaccard.order_of(documents(spark, families))
     order = np.lexsort((np.arange(len(levels)), levels))
     assert (np.diff(fragments[order].astype(int)) >= 0).all() and set(fragments) == set(range(jaccard.FRAGMENTS))
+
+
+def test_marks_hold_every_node(spark):
+    nodes = [*range(-50, 50), 2**62 + 5, -(2**63)]
+    marks = jaccard.marks_of(spark.createDataFrame([(n,) for n in nodes], "node long"))
+    marked = lambda n: marks[(n & 8 * len(marks) - 1) >> 3] >> (n & 7) & 1
+    assert all(marked(n) for n in nodes) and not any(marked(n) for n in range(100, 5000))
