@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from fairlead import vocab
 from fairlead.functions import text as tx
-from fairlead.operators import matching as mt
+from fairlead.operators import contracts as ct, matching as mt
 
 _TEXTS = "array<string>"
 _APPLICATION_BURDENS = (
@@ -262,9 +262,15 @@ def score_violations() -> Column:
 
 
 def assess(pairs: DataFrame, opps: DataFrame, profiles: DataFrame, as_of: Column, assessor=judge):
-    """Assessments and failures; ``assessor`` is any (pairs, opps, profiles) -> judgement table."""
+    """Assessments and failures; ``assessor`` is any (pairs, opps, profiles) -> judgement table.
+
+    What an assessor other than this module's returns is held to the contract; its breaches are failures of their pairs.
+    """
     decided = mt.eligibility(pairs, mt.opportunity_rules(opps), mt.profile_facts(profiles, as_of))
-    judged = assessor(pairs, opps, profiles)
+    judged, refused = assessor(pairs, opps, profiles), None
+    if assessor is not judge:
+        judged, refused = ct.checked_judgements(judged, pairs)
+        judged = judged.join(opps.select("opportunity_key", F.col("status").alias("opportunity_status")), "opportunity_key")
     keys = ["profile_id", "opportunity_key"]
     extra = [c for c in judged.columns if c not in pairs.columns or c in keys]
     df = with_scores(decided.join(judged.select(*extra), keys))
@@ -283,4 +289,4 @@ def assess(pairs: DataFrame, opps: DataFrame, profiles: DataFrame, as_of: Column
     failed = df.where(F.col("failure").isNotNull()).select(
         *keys, F.lit("evaluate").alias("stage"), F.col("failure").alias("reason")
     )
-    return good, failed
+    return good, failed if refused is None else failed.unionByName(refused)

@@ -47,20 +47,43 @@ def read_sources(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return load_sources(spark.read.schema(schemas.SOURCE).json(path))
 
 
-def load_profiles(spark: SparkSession, path: str) -> DataFrame:
-    """Profiles; fields outside the layout stay readable in the ``extra`` JSON column."""
+def load_profiles(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Profiles and rejects ``(line, stage, reason)`` of a JSON-lines file.
+
+    Fields outside the layout stay readable in the ``extra`` JSON column; a profile without an id is named by its line's hash.
+    """
+    layout = T.StructType([*schemas.PROFILE.fields, T.StructField("_broken", T.StringType())])
     lines = spark.read.text(path).select(F.col("value").alias("extra")).where(F.trim("extra") != "")
-    parsed = lines.select("extra", F.from_json("extra", schemas.PROFILE).alias("p"))
-    rows = parsed.select("p.*", "extra")
-    return rows.withColumn("profile_id", F.coalesce("profile_id", F.sha2("extra", 256)))
+    parsed = lines.select("extra", F.from_json("extra", layout, {"columnNameOfCorruptRecord": "_broken"}).alias("p"))
+    whole = F.startswith(F.ltrim("extra"), F.lit("{")) & F.try_parse_json("extra").isNotNull()
+    reason = F.when(~whole, "not a JSON object").when(F.col("_broken").isNotNull(), "a field has another type")
+    told = parsed.select("p.*", "extra").withColumn("reason", reason)
+    good = told.where(F.col("reason").isNull()).select(*schemas.PROFILE.fieldNames(), "extra")
+    bad = told.where(F.col("reason").isNotNull()).select(F.col("extra").alias("line"), F.lit("profile").alias("stage"), "reason")
+    return good.withColumn("profile_id", F.coalesce("profile_id", F.sha2("extra", 256))), bad
 
 
-def read_search_results(spark: SparkSession, path: str) -> DataFrame:
-    """Recorded search hits in order (``seq``): files by name, then place in the file's JSON list."""
-    layout = T.ArrayType(schemas.SEARCH_RESULT)
-    files = spark.read.option("wholetext", True).text(path).select(F.from_json("value", layout).alias("r"), F.input_file_name().alias("f"))
+def scan_search_results(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Recorded search hits in order (``seq``: files by name, then place in the file's JSON list), and rejects ``(seq, item, reason)``.
+
+    A file that is no list is one reject; a bad item is one, and the file's other items stay.
+    """
+    files = spark.read.option("wholetext", True).text(path).select(F.from_json("value", "array<string>").alias("r"), "value", F.input_file_name().alias("f"))
     names = files.select("f").distinct()  # one row per file
     numbered = names.select("f", (F.row_number().over(Window.orderBy("f")) - 1).cast("long").alias("_file"))
-    placed = files.select("f", F.posexplode("r").alias("_at", "hit")).join(numbered, "f")
-    rows = placed.select("f", (F.col("_file") * FILE_ROOM + F.col("_at")).alias("seq"), "hit.*")
-    return rows.where(F.col("title").isNotNull() & F.col("url").isNotNull() & (F.col("rank") >= 1)).drop("f")
+    listed = F.col("r").isNotNull() & F.startswith(F.ltrim("value"), F.lit("["))
+    items = files.select("f", F.posexplode(F.when(listed, F.col("r")).otherwise(F.array("value"))).alias("_at", "item"), listed.alias("listed"))
+    seq = F.col("_file") * FILE_ROOM + F.col("_at")
+    rows = items.join(numbered, "f").select(seq.alias("seq"), "item", "listed", F.from_json("item", schemas.SEARCH_RESULT).alias("hit")).select("seq", "item", "listed", "hit.*")
+    blank = lambda name: F.coalesce(F.trim(F.col(name)), F.lit("")) == ""
+    reason = (
+        F.when(~F.col("listed"), "not a JSON list").when(blank("title") | blank("url"), "no title or URL")
+        .when(~urls.is_web(F.col("url")), "not a web URL").when(~F.coalesce(F.col("rank") >= 1, F.lit(False)), "rank below one")
+    )
+    told = rows.withColumn("reason", reason)
+    return told.where(F.col("reason").isNull()).drop("item", "listed", "reason"), told.where(F.col("reason").isNotNull()).select("seq", "item", "reason")
+
+
+def read_search_results(spark: SparkSession, path: str) -> DataFrame:
+    """The usable hits of ``scan_search_results``."""
+    return scan_search_results(spark, path)[0]
