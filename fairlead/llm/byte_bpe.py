@@ -4,7 +4,8 @@ The rank file is turned into a sentencepiece BPE model without training: each by
 minus its rank, and normalisation is the identity. Merging by best score is then merging by lowest rank. Every match of the
 pre-token pattern is encoded separately; decoding maps ids back to bytes.
 
-Null texts count as empty and have no ids. Equal rows stay equal rows; other columns are carried only if asked for by name.
+Null texts count as empty and have no ids. Equal rows stay equal rows; other columns are carried only if asked for by name,
+and give way to ``ids`` and ``decoded`` where they have these names.
 """
 
 from __future__ import annotations
@@ -120,7 +121,7 @@ _made: dict[int, Codec] = {}
 
 def _codec(pieces: list[bytes], pattern: str) -> Codec:
     """One codec for each worker process and vocabulary."""
-    key = hash((len(pieces), pieces[0], pieces[-1], pattern))
+    key = hash((tuple(pieces), pattern))
     if key not in _made:
         _made[key] = Codec(pieces, pattern)
     return _made[key]
@@ -129,6 +130,7 @@ def _codec(pieces: list[bytes], pattern: str) -> Codec:
 def encode(docs: DataFrame, rank_file: str, pattern: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",), round_trip: bool = False) -> DataFrame:
     """``keep`` columns and ``ids array<int>``, the ids of the whole text in order; with ``round_trip`` also ``decoded binary``."""
     pieces = read_ranks(rank_file)
+    keep = tuple(c for c in keep if c not in ("ids", *["decoded"] * round_trip))
     source = docs.select(*keep, docs[text].alias("_text"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1]) + ", ids array<int>" + ", decoded binary" * round_trip
 

@@ -36,3 +36,15 @@ def test_odd_characters_and_a_small_memory():
     for _ in range(4000):
         text = "".join(rng.choices(signs, k=rng.randint(0, 14)))
         assert codec.encode(text).tolist() == TRUE.encode_ordinary(text), repr(text)
+
+
+def test_vocabularies_that_differ_inside_have_their_own_codec():
+    pieces = [bytes([b]) for b in range(256)] + [b"ab", b"cd", b"ef"]
+    other = [*pieces[:257], b"bc", pieces[258]]
+    assert byte_bpe._codec(pieces, P.PATTERN) is not byte_bpe._codec(other, P.PATTERN)
+    assert byte_bpe._codec(pieces, P.PATTERN) is byte_bpe._codec([*pieces], P.PATTERN)
+
+
+def test_kept_columns_give_way(spark):
+    rows = spark.createDataFrame([(1, "a b", "x", "y")], "doc_id long, text string, ids string, decoded string")
+    assert byte_bpe.encode(rows, PATH, P.PATTERN, keep=("doc_id", "ids", "decoded"), round_trip=True).columns == ["doc_id", "ids", "decoded"]
