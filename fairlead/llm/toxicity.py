@@ -18,7 +18,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -40,6 +40,7 @@ SIGNS = {
 EDGE, OTHER, KINDS = 0, 27, 28
 _ENDS = re.compile(r"^(?:([^\w\s])\1+|[^\w\s@$!|+(€£])+|(?:([^\w\s])\2+|[^\w\s@$!|+(€£])+$")
 _SPACED = re.compile(r"(?<![^\s])[^\s](?: [^\s]){2,}(?![^\s])")
+_MAY_SPACE = re.compile(r" [^\s] [^\s](?![^\s])")  # quickly found; the end of every spelled word
 _DISGUISED = re.compile(r"[^\W\d_].*[\d\W_]|[\d\W_].*[^\W\d_]|([^\W\d_])\1\1|([^\W\d_])\2.*([^\W\d_])\3", re.S)
 _SIGN = "".join(re.escape(c) for c, letters in SIGNS.items() if letters)
 _BARE_ENDS = re.compile(rf"^(?:[^\w{_SIGN}]|_)+|(?:[^\w{_SIGN}]|_)+$")
@@ -164,17 +165,21 @@ class Restorer:
         """The best reading in which every sign is a letter, and the best one in which it is a letter of its own."""
         return " ".join([self.restore(word, KEPT), self.restore(word, KEPT, KEPT) if _SIGN_TWICE.search(word) else ""]).split()
 
-    def _readings(self, plain: str) -> tuple[str, ...]:
-        """The readings of a token as it stands: its bare letters, the best one, and the best one in which every sign is a letter."""
-        if plain.isalpha() and not _TWICE.search(plain):
+    def certain(self, plain: str) -> tuple[str, ...]:
+        """The readings of a token as it stands that need no costs: its bare letters, and a doubled letter as one where there is but one."""
+        if not plain.isalpha():
+            return (bare,) if _DISGUISED.search(plain) and (bare := "".join([c for c in plain if c.isalpha()])) else ()
+        if not _TWICE.search(plain) or _DISGUISED.search(plain):
             return (plain,)
-        if not _DISGUISED.search(plain):
-            once = _TWICE.sub(r"\1", plain)  # letters with one of them doubled have two paths; both are read
-            return ((plain,) if once == plain else (plain, once)) if plain.isalpha() else ()
-        bare = "".join([c for c in plain if c.isalpha()])
-        found = [bare, *self.restore(plain).split()]
-        if any(map(_OPTIONS.get, plain)):  # without a sign that may be a letter both readings are one
-            found += self.restore(plain, KEPT).split()
+        return plain, _TWICE.sub(r"\1", plain)  # letters with one of them doubled have two paths; both are read
+
+    def _readings(self, plain: str) -> tuple[str, ...]:
+        """The readings of a token as it stands: the certain ones, the best one, and the best one in which every sign is a letter."""
+        found = [*self.certain(plain)]
+        if _DISGUISED.search(plain):
+            found += self.restore(plain).split()
+            if any(map(_OPTIONS.get, plain)):  # without a sign that may be a letter both readings are one
+                found += self.restore(plain, KEPT).split()
         return tuple({x: None for x in found if x})
 
 
@@ -186,7 +191,8 @@ def features_of(reading: str) -> list[str]:
 def tokens_of(text: str) -> set[str]:
     """Distinct words between white space, and words spelled with spaces."""
     found = set(text.split())
-    found.update(_SPACED.findall(text))
+    if _MAY_SPACE.search(text):
+        found.update(_SPACED.findall(text))
     return found
 
 
@@ -217,12 +223,70 @@ def fit(rows: list[set[str]], toxic: np.ndarray, share: float) -> tuple[dict[str
     return {f: float(w[i]) for f, i in chosen.items() if w[i] > 0}, float(bias + odds(min(max(share, 1e-4), 1 - 1e-4)) - odds(n1 / (n0 + n1)))
 
 
+class Telling:
+    """Which of ``features`` a token may have: the letters that it may stand for are tried without costs."""
+
+    def __init__(self, features: Iterable[str]):
+        self.words = {f[1:] for f in features if f.startswith("=")}
+        self.heads = {f for f in features if not f.startswith("=")}
+        self.starts = {f[:n] for f in self.words | self.heads for n in range(len(f) + 1)}
+
+    def reach(self, token: str) -> set[str]:
+        """At least the features of all readings of a lower-case token without spaces; reads on only while a feature may still begin so."""
+        one, found, starts, heads = "", set(), self.starts, self.heads
+        for at, c in enumerate(token):  # while there is one way to read on
+            if c.isalpha():
+                if c == one[-1:]:
+                    break
+                one += c
+                if one not in starts:
+                    return found
+                if one in heads:
+                    found.add(one)
+            elif SIGNS.get(c):
+                break
+        else:
+            return found | {"=" + one} if one in self.words else found
+        begun = {one}
+        for c in token[at:]:
+            letters = c if c.isalpha() else SIGNS.get(c, "")
+            if not letters:
+                continue
+            # a sign may be left out, a letter again may be the one before
+            grown = {b for b in begun if b[-1:] == c} if letters is c else set(begun)
+            for b in begun:
+                for x in letters:
+                    if (longer := b + x) in starts:
+                        grown.add(longer)
+                        if longer in heads:
+                            found.add(longer)
+            if not grown:
+                return found
+            begun = grown
+        return found | {"=" + b for b in begun & self.words}
+
+
 def _readers(restorer: Restorer, kept, room: int) -> Recent:
     """The features in ``kept`` (None: all) of a token."""
     if kept is None:
         return Recent(lambda tokens: [tuple([f for r in restorer.readings(t) for f in features_of(r)]) for t in tokens], room)
-    heads = {f.lstrip("=")[:3] for f in kept}  # few readings begin like a feature
-    return Recent(lambda tokens: [tuple([f for r in restorer.readings(t) if r[:3] in heads for f in features_of(r) if f in kept]) for t in tokens], room)
+    telling = Telling(kept)
+
+    def learn(tokens: list[str]) -> Iterator[tuple[str, ...]]:
+        for token in tokens:
+            lower = token.lower()
+            bare = lower[:-1] if lower[-1:] in _TAIL else lower
+            if bare.isalpha() and not _TWICE.search(bare):  # no other reading
+                yield tuple([f for f in features_of(bare) if f in kept]) if bare[:3] in telling.starts else ()
+            elif " " in token:  # every word of a spelled run is a reading
+                yield tuple([f for r in restorer.readings(token) for f in features_of(r) if f in kept])
+            elif reached := telling.reach(lower):
+                found = tuple([f for r in restorer.certain(_ENDS.sub("", lower)) for f in features_of(r) if f in kept])
+                yield found if reached.issubset(found) else tuple([f for r in restorer.readings(token) for f in features_of(r) if f in kept])
+            else:
+                yield ()
+
+    return Recent(learn, room)
 
 
 def _row(recent: Recent, text: str | None) -> set[str]:

@@ -48,3 +48,20 @@ def test_signs_at_the_ends_tokens_without_letters_and_spelled_words(spark):
     assert "stupid" in restorer.readings("stupid!!") and restorer.readings("stupid") == ("stupid",)
     for written in ("1234", "777", "--", "!!!", "***", ""):
         assert restorer.readings(written) == (), written
+
+
+def test_readers_that_skip_lattices_find_what_all_readings_have(restorer):
+    rng = np.random.default_rng(11)
+    words = ["idiot", "moron", "scum", "stupid", "clown", "ass", "shit", "aas", "iddio", "i", "as", *WORDS[:20]]
+    letters = [*"aabiimnoostu", *toxicity.SIGNS, *"?,;ß²É%"]
+    tokens = [w + end for w in words for end in ("", ".", "$$$", "***", "!!", "%%%", "1")]
+    for _ in range(3000):
+        word = [*words[rng.integers(len(words))]]
+        for _ in range(rng.integers(1, 5)):
+            word[rng.integers(len(word))] = letters[rng.integers(len(letters))] * int(rng.integers(1, 4))
+        tokens.append("".join(word))
+    tokens = [t for t in dict.fromkeys(tokens) if t]
+    kept = {f for w in words[:11] for f in toxicity.features_of(w)} - {"idi", "stu", "stup", "=clown"}
+    found = toxicity._readers(restorer, kept, 10).lookup(tokens)
+    for token in tokens:
+        assert set(found(token)) == {f for r in restorer.readings(token) for f in toxicity.features_of(r)} & kept, token
