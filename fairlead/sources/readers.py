@@ -24,11 +24,14 @@ def read_url_list(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]
     return lines.where(good), lines.where(~good).select("url", F.lit("input").alias("stage"), F.lit("not a web URL").alias("reason"))
 
 
-def load_sources(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Usable trusted sources and rejects (bad id, repeated id, bad type, link cap out of range)."""
+def load_sources(raw: DataFrame, default_cap: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Usable trusted sources and rejects (bad id, repeated id, bad type, link cap out of range).
+
+    ``default_cap`` is the link cap of sources that name none; without it these stay uncapped.
+    """
     df = schemas.conform(raw, schemas.SOURCE).withColumns({
         "enabled": F.coalesce("enabled", F.lit(True)), "check_frequency": F.coalesce("check_frequency", F.lit("daily")),
-        "max_links_per_run": F.coalesce("max_links_per_run", F.lit(20)),
+        "max_links_per_run": F.coalesce("max_links_per_run", F.lit(default_cap).cast("int")),
         "category_focus": F.coalesce("category_focus", F.array().cast("array<string>")),
     })
     repeated = df.groupBy("id").agg(F.count(F.lit(1)).alias("_n"))
@@ -43,8 +46,8 @@ def load_sources(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
     return checked.where(F.col("reason").isNull()).drop("reason"), checked.where(F.col("reason").isNotNull())
 
 
-def read_sources(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    return load_sources(spark.read.schema(schemas.SOURCE).json(path))
+def read_sources(spark: SparkSession, path: str, default_cap: int | None = None) -> tuple[DataFrame, DataFrame]:
+    return load_sources(spark.read.schema(schemas.SOURCE).json(path), default_cap)
 
 
 def load_profiles(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
