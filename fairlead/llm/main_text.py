@@ -4,7 +4,7 @@ A page is read once into blocks: runs of text between block-level tags, each wit
 its share of stop words, the kind of element and the part of the page it stands in. The first pass decides a block from its
 part of the page (menus, headers, footers, sidebars, notices, adverts, forms, reader comments), link density, stop-word density
 and length. Short blocks stay undecided; in the second pass they take the label of the nearest decided neighbours, within the
-article where the page has one.
+article where the page has one. Inside an article, links make a block a menu only in a list.
 
 Null and empty pages give an empty text. Broken markup is read as far as it goes: unclosed elements end with the page, stray
 end tags and unfinished tags are ignored. Time and memory are linear in the page. Equal rows stay equal rows.
@@ -44,7 +44,13 @@ STOP_WORDS = frozenset(
 #: Lengths (characters) of short and long blocks, stop-word densities, and the link density of a menu.
 SHORT, LONG, FEW_STOPS, MANY_STOPS, LINKED = 70, 140, 0.1, 0.25, 0.5
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
+#: Longer names (characters) of a class are not looked at as names of wrappers.
+LONG_NAME = 100
+
+#: Comments and declarations, which the page may end; after the page's last ``>`` there are no tags beside them.
+_REMARK = r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
+_REMARKS, _STARTS = re.compile(_REMARK, re.S), re.compile(_REMARK + r"|<(/?)([a-zA-Z][^\s/>]*)", re.S)
+_STOPS = re.compile(r"[>\"']")
 _NAMED = re.compile(r"\b(class|id|role|style|hidden|aria-hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -56,6 +62,7 @@ class Block:
     apart: bool
     article: bool
     heading: bool
+    listed: bool = False
     good: bool | None = None
 
 
@@ -68,19 +75,42 @@ def _stands_apart(name: str, attributes: str) -> int:
         if key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
             return HARD
         if key in ("class", "id", "role"):
-            words = [w for w in re.split(r"[^a-z]+", value) if APART_WORDS.fullmatch(w)]
-            if words and any(not LAYOUT.fullmatch(v) for v in value.split() for w in re.split(r"[^a-z]+", v) if w in words):
+            words = {w for w in re.split(r"[^a-z]+", value) if APART_WORDS.fullmatch(w)}
+            if words and any(words & set(re.split(r"[^a-z]+", v)) and not (len(v) <= LONG_NAME and LAYOUT.fullmatch(v)) for v in value.split()):
                 found = max(found, HARD if key == "role" or "hidden" in words else NAMED)
     return found
 
 
+def _end_of_tag(page: str, at: int, open_ended: set[int]) -> int:
+    """Place of the ``>`` that ends the tag whose name ends at ``at``: the first outside quotes, or the first of all where a quote stays open.
+
+    ``open_ended`` remembers the quotes from which no end was found. A quote is opened once in vain at most, so all calls for a
+    page together take time linear in it.
+    """
+    tried, here = [], at
+    while stop := _STOPS.search(page, here):
+        if stop[0] == ">":
+            return stop.start()
+        if stop.start() in open_ended:
+            break
+        tried.append(stop.start())
+        here = page.find(stop[0], stop.end()) + 1
+        if not here:
+            break
+    open_ended.update(tried)
+    return page.find(">", at)
+
+
 def blocks_of(page: str) -> list[Block]:
     """Blocks of a page in order. One pass over its tags with a stack of the open elements."""
     out: list[Block] = []
     stack: list[tuple[str, int, bool]] = []  # name, why it stands apart, in an article
+    around: list[int] = []  # places of block elements in the stack
     depth: dict[str, int] = {}
     parts: list[str] = []
-    linked = links = at = 0
+    linked = links = at = beside = 0
+    open_ended: set[int] = set()
+    titles = True
 
     def flush() -> None:
         nonlocal linked
@@ -88,17 +118,25 @@ def blocks_of(page: str) -> list[Block]:
         if text:
             top = stack[-1] if stack else ("", 0, False)
             heading = any(depth.get(h) for h in HEADINGS)
-            out.append(Block(text, linked, bool(top[1]) and not (heading and top[2] and not any(s[1] and s[0] != "header" for s in stack)), top[2], heading))
+            listed = any(depth.get(e) for e in ("ul", "ol", "dl"))
+            out.append(Block(text, linked, bool(top[1]) and not (heading and top[2] and not beside), top[2], heading, listed))
         parts.clear()
         linked = 0
 
     def close(to: int) -> None:
+        nonlocal beside
         while len(stack) > to:
-            depth[stack.pop()[0]] -= 1
+            name, apart, _ = stack.pop()
+            depth[name] -= 1
+            beside -= bool(apart) and name != "header"
+        while around and around[-1] >= to:
+            around.pop()
 
-    end = len(page)
+    end, last = len(page), page.rfind(">")
     while at < end:
-        tag = _TAG.search(page, at)
+        tag = (_STARTS if at <= last else _REMARKS).search(page, at)
+        if tag and tag.start() > last:
+            tag = _REMARKS.search(page, at)
         piece = page[at : tag.start() if tag else end]
         if piece:
             parts.append(piece)
@@ -107,16 +145,21 @@ def blocks_of(page: str) -> list[Block]:
         if not tag:
             break
         at = tag.end()
-        if tag[0].startswith("<![CDATA["):
+        if tag.re is _REMARKS or not tag[2]:
             continue
-        name = (tag[2] or tag[5] or "").lower()
-        if not name:
-            continue
-        closing, attributes = tag[1] or tag[4], tag[3] or tag[6] or ""
+        name, closing = tag[2].lower(), tag[1]
+        stop = _end_of_tag(page, at, open_ended)
+        attributes, at = page[at:stop], stop + 1
         if name in SKIPPED:
-            if not closing and not attributes.rstrip().endswith("/"):
-                stop = re.compile(rf"</{name}\b[^>]*>", re.I).search(page, at)
-                at = stop.end() if stop else (end if name != "title" else at)
+            if not closing and not attributes.rstrip().endswith("/") and (titles or name != "title"):
+                shut = re.compile(rf"</{name}\b", re.I).search(page, at)
+                stop = page.find(">", shut.end()) if shut else -1
+                if stop >= 0:
+                    at = stop + 1
+                elif name == "title":
+                    titles = False  # none of the page's other titles ends either
+                else:
+                    at = end
             continue
         if name in BLOCKS or name == "hr":
             flush()
@@ -135,12 +178,8 @@ def blocks_of(page: str) -> list[Block]:
                 links = depth.get("a", 0)
             continue
         if name in ("p", "li", "td", "th", "tr", "dd", "dt", "option") or name in HEADINGS:
-            k = len(stack) - 1  # an open paragraph, item or cell ends where the next one begins
-            ends = {"p"} if name == "p" else {name, "p"}
-            while k >= 0 and (stack[k][0] not in BLOCKS or stack[k][0] == "p") and stack[k][0] not in ends:
-                k -= 1
-            if k >= 0 and stack[k][0] in ends:
-                close(k)
+            if around and stack[around[-1]][0] in (name, "p"):  # an open paragraph, item or cell ends where the next one begins
+                close(around[-1])
                 links = depth.get("a", 0)
         above = stack[-1] if stack else ("", 0, False)
         main = name == "main" or 'role="main"' in attributes
@@ -149,7 +188,10 @@ def blocks_of(page: str) -> list[Block]:
             apart = max(apart, above[1])
         if bool(apart) != bool(above[1]):
             flush()
+        if name in BLOCKS:
+            around.append(len(stack))
         stack.append((name, apart, above[2] or main or name == "article"))
+        beside += bool(apart) and name != "header"
         depth[name] = depth.get(name, 0) + 1
         links = depth.get("a", 0)
     flush()
@@ -161,7 +203,7 @@ def classify(blocks: list[Block]) -> list[Block]:
     for b in blocks:
         words = _WORD.findall(b.text.lower())
         stops = sum(w in STOP_WORDS for w in words) / max(1, len(words))
-        if b.apart or b.linked > LINKED * len(b.text):
+        if b.apart or b.linked > LINKED * len(b.text) and (b.listed or not b.article):
             b.good = False
         elif b.article and (b.heading or len(b.text) >= SHORT or stops >= MANY_STOPS):
             b.good = True
@@ -170,7 +212,7 @@ def classify(blocks: list[Block]) -> list[Block]:
         elif len(b.text) >= LONG and not b.heading:
             b.good = b.article or stops >= FEW_STOPS / 2
     article = any(b.article and not b.apart for b in blocks)
-    region = [b for b in blocks if b.article] if article else [b for b in blocks if not b.apart]
+    region = [b for b in blocks if not b.apart and (b.article or not article)]  # what stands apart is no neighbour
     members = {id(b) for b in region}
     near: dict[int, list[tuple[int, bool]]] = {}
     for order in (range(len(region)), range(len(region) - 1, -1, -1)):

@@ -1,5 +1,8 @@
 import html
+import random
 import re
+import time
+from html.parser import HTMLParser
 
 import duckdb
 
@@ -66,3 +69,78 @@ def test_wrappers_and_page_wide_forms_do_not_hide_the_article():
     assert main_text(f'<div class="sidebar"><main><p>{LONG}</p></main></div>') == LONG
     for hidden in ("div hidden", 'div style="display:none"', "nav", "aside", 'div class="sidebar-wrap"', 'div class="related-content"'):
         assert main_text(f"<{hidden}><article><p>{LONG}</p></article></{hidden.split()[0]}>") == "", hidden
+
+
+def test_an_article_keeps_link_paragraphs_and_lines_beside_adverts():
+    link, menu = '<p><a href="/r">Read the full report here</a></p>', "<ul><li><a href=1>One more thing</a></li><li><a href=2>Another thing</a></li></ul>"
+    assert main_text(f"<article>{link}</article>") == "Read the full report here"
+    assert main_text(f"<article><p>{LONG}</p>{link}{menu}<p>{LONG}</p></article>") == f"{LONG}\n\nRead the full report here\n\n{LONG}"
+    assert main_text(f'<article><p>{LONG}</p><div class="ad">Buy</div><p>Short.</p><p>Shorter.</p><p>{LONG}</p></article>') == f"{LONG}\n\nShort.\n\nShorter.\n\n{LONG}"
+    assert main_text(f"<body><p>{LONG}</p>{link}<p>{LONG}</p></body>") == f"{LONG}\n\n{LONG}"
+
+
+def test_quotes_in_tags():
+    assert main_text(f'<article><p title="a > b">{LONG}</p></article>') == LONG
+    assert main_text(f'<article><p title="a>{LONG}</p></article>') == LONG  # a quote that stays open ends with the tag
+    assert main_text(f"<article><p>{LONG}</p><p>1 < 2 and <b") == f"{LONG}\n\n1 < 2 and <b"
+
+
+def test_hostile_pages_take_time_in_proportion():
+    size = 1_000_000
+    for unit in ('<a "', "<a '\"", "<a ", "<a", "<title>", "</title ", "<script></script ", "<b>", '<a ">', "<a '>\"", '<p class="content-advert_', "<", "<!", "<h1><header><b>x", "</b>"):
+        for around in ("{}", "<article><p><div>{}", "{}>"):
+            page, before = around.format(unit * (size // len(unit))), time.process_time()
+            main_text(page)
+            assert time.process_time() - before < 20, unit
+    for page in ("<p><div>" + "<b>" * 100_000 + "<option>x</option>" * 20_000, f'<div class="{"content-ad-" * 50_000}_">x</div>', f'<div class="content-advert{"_" * size}">x</div>'):
+        before = time.process_time()
+        main_text(page)
+        assert time.process_time() - before < 20, page[:40]
+
+
+class Walk(HTMLParser):
+    """The text of a tree of well-formed elements: blocks between block elements, outside every part that stands apart."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.open, self.blocks, self.now = [], [], ""
+
+    def edge(self):
+        if self.now.split():
+            self.blocks.append(" ".join(self.now.split()))
+        self.now = ""
+
+    def handle_starttag(self, tag, attrs):
+        apart = tag in ("nav", "footer", "aside", "form", "script", "style") or dict(attrs).get("class") in ("ad", "comments", "cookie-notice")
+        if tag not in ("b", "i", "a", "span"):
+            self.edge()
+        self.open.append((tag, apart))
+
+    def handle_endtag(self, tag):
+        if tag not in ("b", "i", "a", "span"):
+            self.edge()
+        self.open.pop()
+
+    def handle_data(self, data):
+        names = [t for t, _ in self.open]
+        if "article" in names and not any(a for _, a in self.open):
+            self.now += data
+
+
+def test_random_trees_equal_a_walk_of_the_tree():
+    rng = random.Random(7)
+
+    def words():
+        return " ".join(rng.choice(("the", "river", "of", "town", "&amp;", "caf&eacute;", "and\n", "<b>old</b>", "<a href='x'>link</a>")) for _ in range(rng.choice((1, 4, 30))))
+
+    def tree(depth):
+        kind = rng.choice(("p", "p", "p", "h2", "div", "section", "blockquote", "aside", "form", "nav", 'div class="ad"', 'div class="cookie-notice"', "script"))
+        inner = words() if depth == 0 or kind in ("p", "h2", "script") else "".join(tree(depth - 1) for _ in range(rng.randrange(4)))
+        return f"<{kind}>{inner}</{kind.split()[0]}>"
+
+    for _ in range(1500):
+        page = f'<body><header>{words()}</header><nav>{words()}</nav><article><h1>Title</h1>{"".join(tree(2) for _ in range(5))}</article><section class="comments"><article><p>{words()}</p></article></section></body>'
+        walk = Walk()
+        walk.feed(page)
+        walk.edge()
+        assert main_text(page) == "\n\n".join(walk.blocks), page
