@@ -86,8 +86,11 @@ def prefix_of(hashes: np.ndarray, levels: np.ndarray, percent: int = PERCENT) ->
 
 
 def sketch_of(hashes: np.ndarray) -> bytes:
-    """Parities of the set's hashes in at least twice as many cells as members; half as many cells are the exclusive or of both halves."""
-    cells = 1 << max(6, (2 * len(hashes) - 1).bit_length())
+    """Parities of the set's hashes in at least as many cells as members; half as many cells are the exclusive or of both halves.
+
+    Unrelated sets of one size differ in about half of the cells, linking ones in at most two ninths as many as members.
+    """
+    cells = 1 << max(6, (len(hashes) - 1).bit_length())
     return np.packbits(np.bincount((hashes & np.uint64(cells - 1)).astype(np.int64), minlength=cells).astype(np.uint8) & 1).tobytes()
 
 
