@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from fairlead import vocab
-from fairlead.catalog.base import query
+from fairlead.catalog.base import ORACLE, query
 from fairlead.catalog.text import CANONICAL
 from fairlead.operators import history as hs, notify as nt, reports as rp
 from fairlead.session import shared_folder
@@ -169,6 +169,44 @@ def stream_dedup(spark, sf):
     return spark.read.schema("page_id long, canonical string").parquet(f"{folder}/out")
 
 
+def _streamed(spark, parts, sink):
+    """Run a stream over ``parts``, each landing in its folder as one batch; ``sink(folder)`` is its foreachBatch function."""
+    folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    for part in parts:
+        part.write.mode("append").parquet(f"{folder}/in")
+        landed = jobs.page_stream(spark, f"{folder}/in", part.schema, max_files=1_000_000)
+        jobs.run_once(landed, sink(folder), f"{folder}/progress").awaitTermination()
+    return folder
+
+
+@query("stream_versions", ORACLE["versions"])
+def stream_versions(spark, sf):
+    """Versions started by four batches, each tracked against the bucketed state of those before; equals tracking all at once."""
+    obs = b.view(spark, sf, "observations")
+    low, high = obs.agg(F.min("seq"), F.max("seq")).first()
+    quarter = F.floor((F.col("seq") - F.lit(low)) * 4 / (F.lit(high) - F.lit(low) + 1))
+    folder = _streamed(spark, [obs.where(quarter == k) for k in range(4)], lambda f: jobs.change_batches(f, "record_id", "seq", ["status", "bucket"], 8))
+    kept = spark.read.parquet(f"{folder}/versions")
+    return kept.groupBy("record_id").agg(F.count(F.lit(1)).alias("versions"), F.max("seq").alias("last_seq"))
+
+
+@query("late_rows", """
+    WITH e AS (SELECT event_id, ts, event_id % 4 AS slice FROM events),
+    arrivals AS (SELECT event_id, ts, slice AS batch, 2 AS n FROM e UNION ALL SELECT event_id, ts, slice + 1, 1 FROM e WHERE slice < 3),
+    marks AS (SELECT k AS batch, (SELECT max(ts) FROM e WHERE slice < k) - INTERVAL 10 DAY AS until FROM range(4) r(k)),
+    told AS (SELECT *, ts IS NULL OR (until IS NOT NULL AND ts < until) AS late FROM arrivals JOIN marks USING (batch))
+    SELECT event_id, cast(max(CASE WHEN late THEN 0 ELSE 1 END) AS bigint) AS kept, cast(sum(CASE WHEN late THEN n ELSE 0 END) AS bigint) AS late
+    FROM told GROUP BY 1""")
+def late_rows(spark, sf):
+    """Events in four batches, each with every row twice and with the rows of the batch before again: how often a row is kept, how often late."""
+    events, slice_ = b.table(spark, sf, "events"), F.pmod("event_id", F.lit(4))
+    parts = [events.where(slice_ == k).unionByName(events.where(slice_.isin(k, k - 1))) for k in range(4)]
+    folder = _streamed(spark, parts, lambda f: jobs.late_split(f, ["event_id"], "ts", "event_type", "10 days"))
+    read = lambda name, kept: spark.read.parquet(f"{folder}/{name}").select("event_id", F.lit(kept).alias("is_kept"))
+    both = read("kept", True).unionByName(read("late", False))
+    return both.groupBy("event_id").agg(F.count_if("is_kept").alias("kept"), F.count_if(~F.col("is_kept")).alias("late"))
+
+
 @query("stream_ledger", b.with_views(_LEDGER, "attempts"))
 def stream_ledger(spark, sf):
     """The delivery ledger kept by a stream of attempts; equals the batch fold."""

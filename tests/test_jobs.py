@@ -129,10 +129,43 @@ def test_override_logs_and_rejects(spark):
 def test_streamed_batches_match_one_batch(spark, tmp_path):
     rows = [("a", 1, "x"), ("b", 2, "y"), ("a", 3, "x"), ("a", 4, "z"), ("b", 5, "y"), ("c", 6, "w")]
     df = spark.createDataFrame(rows, "k string, seq long, v string")
-    step = jobs.change_batches(lambda n: f"{tmp_path}/state{n}", f"{tmp_path}/versions", "k", "seq", ["v"])
+    step = jobs.change_batches(str(tmp_path), "k", "seq", ["v"], buckets=16)
     step(df.where("seq <= 3"), 0)
     step(df.where("seq > 3"), 1)
     step(df.where("seq > 3"), 1)  # a replayed batch changes nothing
+    step(df.limit(0), 2)
+    more = spark.createDataFrame([("a", 7, "z"), ("a", 8, "x")], df.schema)
+    step(more, 3)
     got = {(r.k, r.seq, r.version_number) for r in spark.read.parquet(f"{tmp_path}/versions").collect()}
-    whole = {(r.k, r.seq, r.version_number) for r in hs.versions(hs.change_track(df, "k", "seq", ["v"])).collect()}
+    whole = {(r.k, r.seq, r.version_number) for r in hs.versions(hs.change_track(df.unionByName(more), "k", "seq", ["v"])).collect()}
     assert got == whole
+    assert len(list((tmp_path / "state" / "batch=3").glob("key_bucket=*"))) == 1  # one key, one bucket
+
+
+def test_late_rows_are_told_by_the_watermark_of_earlier_batches(spark, tmp_path):
+    batches = [
+        [("a", 10, "p"), ("a", 10, "o"), ("b", 5, "p"), (None, 9, "p")],
+        [("a", 10, "q"), ("b", 7, "p"), ("c", 8, "p"), (None, 9, "q"), (None, 9, "p"), ("d", None, "p"), ("e", 30, "p")],
+        [],
+        [("e", 30, "q"), ("e", 28, "p"), ("c", 8, "p"), ("f", 29, "p")],
+        [("f", 29, "p"), ("f", 27, "p")],
+    ]
+    kept, late, top, seen = set(), [], None, set()
+    step = jobs.late_split(str(tmp_path), ["k"], "at", "v", "2 days")
+    day = F.timestamp_seconds(F.col("d") * 86400).alias("at")
+    for number, rows in enumerate(batches):
+        df = spark.createDataFrame(rows, "k string, d long, v string").select("k", day, "v")
+        step(df, number)
+        step(df, number)
+        old = [r for r in rows if r[1] is None or top is not None and r[1] < top - 2]
+        late += [(number, *r) for r in old]
+        for k, d, v in sorted((r for r in rows if r not in old), key=lambda r: r[2]):
+            if (k, d) not in seen:
+                seen.add((k, d))
+                kept.add((number, k, d, v))
+        top = max([r[1] for r in rows if r[1] is not None] + ([] if top is None else [top]), default=None)
+    days = F.expr("cast(unix_seconds(at) div 86400 as long)").alias("d")
+    read = lambda name: [tuple(r) for r in spark.read.parquet(f"{tmp_path}/{name}").select("batch", "k", days, "v").collect()]
+    key = lambda r: tuple(str(x) for x in r)
+    assert sorted(read("kept"), key=key) == sorted(kept, key=key)
+    assert sorted(read("late"), key=key) == sorted(late, key=key)
