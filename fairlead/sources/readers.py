@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
 from fairlead import schemas, vocab
-from fairlead.functions import urls
+from fairlead.functions import text as tx, urls
 
 
 #: Sequence numbers set aside for each file of recorded hits.
@@ -71,11 +71,13 @@ def scan_search_results(spark: SparkSession, path: str) -> tuple[DataFrame, Data
 
     A file that is no list is one reject; a bad item is one, and the file's other items stay.
     """
-    files = spark.read.option("wholetext", True).text(path).select(F.from_json("value", "array<string>").alias("r"), "value", F.input_file_name().alias("f"))
+    raw = spark.read.option("wholetext", True).text(path).select("value", F.from_json("value", "array<string>").alias("r"), F.input_file_name().alias("f"))
+    is_list = F.col("r").isNotNull() & F.startswith(F.ltrim("value"), F.lit("["))
+    # the file's text stops here: beside its items it would be copied into every one of their rows
+    files = raw.select("f", F.when(is_list, F.col("r")).otherwise(F.array("value")).alias("items"), tx.hold(is_list).alias("listed"))
     names = files.select("f").distinct()  # one row per file
     numbered = names.select("f", (F.row_number().over(Window.orderBy("f")) - 1).cast("long").alias("_file"))
-    listed = F.col("r").isNotNull() & F.startswith(F.ltrim("value"), F.lit("["))
-    items = files.select("f", F.posexplode(F.when(listed, F.col("r")).otherwise(F.array("value"))).alias("_at", "item"), listed.alias("listed"))
+    items = files.select("f", F.posexplode("items").alias("_at", "item"), "listed")
     seq = F.col("_file") * FILE_ROOM + F.col("_at")
     rows = items.join(numbered, "f").select(seq.alias("seq"), "item", "listed", F.from_json("item", schemas.SEARCH_RESULT).alias("hit")).select("seq", "item", "listed", "hit.*")
     blank = lambda name: F.coalesce(F.trim(F.col(name)), F.lit("")) == ""

@@ -1,9 +1,12 @@
 """Steps that several facts share are worked out once a page."""
 
+import re
+
 from pyspark.sql import functions as F
 
 from fairlead.functions import text as tx
 from fairlead.operators import facts as fx, pages as pg
+from fairlead.sources import readers
 
 
 def _plan(df):
@@ -29,3 +32,13 @@ def test_sections_and_dates_do_not_grow_with_their_uses(spark):
     dated = spark.createDataFrame([("until May 4th, 2026",)], "t string").select(fx.dt.parse_date(F.col("t")).alias("d"))
     assert str(dated.first().d) == "2026-05-04"
     assert _plan(dated.where("rand() > -1")).count("(?iU)") == 1
+
+
+def test_recorded_items_do_not_carry_their_file(spark, tmp_path):
+    (tmp_path / "a.json").write_text('[{"title":"T","url":"https://h.example/","rank":1}, {"title":"T"}]')
+    (tmp_path / "b.json").write_text("{broken")
+    good, bad = readers.scan_search_results(spark, str(tmp_path))
+    assert good.count() == 1 and sorted(r.reason for r in bad.collect()) == ["no title or URL", "not a JSON list"]
+    plan = good._jdf.queryExecution().executedPlan().toString()
+    kept = re.search(r"Generate posexplode\(.*\), \[([^\]]*)\], false", plan)[1]
+    assert "value" not in kept and "r#" not in kept and "items" not in kept
