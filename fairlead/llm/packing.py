@@ -31,7 +31,7 @@ from fairlead.llm.common import Recent, cut_lineage
 #: Remembered words in each of two generations.
 ROOM = 200_000
 #: Pieces in a block on average, islands for a block, packings on an island, rounds between which elites move, crossings in a round.
-BLOCK, ISLANDS, HERD, ROUNDS, CROSSINGS = 4096, 2, 3, 2, 3
+BLOCK, ISLANDS, HERD, ROUNDS, CROSSINGS = 4096, 2, 8, 2, 32
 LENGTH, END_ID = 2048, 0
 
 

@@ -84,3 +84,10 @@ def test_crossing_keeps_every_piece_once():
     child = packing.cross(sizes, *packs, 2048, rng)
     assert np.bincount(child, sizes).max() <= 2048 and len(child) == 400
     assert packing.fitness(sizes, packing.evolve(sizes, packs, 2048, 3, 4, 6), 2048) >= max(packing.fitness(sizes, p, 2048) for p in packs)
+
+
+def test_herds_are_bred_until_the_bound_or_for_many_crossings(monkeypatch):
+    crossed, cross = [], packing.cross
+    monkeypatch.setattr(packing, "cross", lambda *a: crossed.append(1) or cross(*a))
+    packing.evolve(np.full(40, 1100), [], packing.LENGTH, 1, packing.HERD, packing.CROSSINGS)  # the bound of 22 sequences cannot be reached
+    assert packing.HERD >= 8 and len(crossed) >= 32

@@ -5,7 +5,7 @@ import re
 from pyspark.sql import functions as F
 
 from fairlead.functions import text as tx
-from fairlead.operators import facts as fx, pages as pg
+from fairlead.operators import facts as fx, notify as nt, pages as pg
 from fairlead.sources import readers
 
 
@@ -42,3 +42,21 @@ def test_recorded_items_do_not_carry_their_file(spark, tmp_path):
     plan = good._jdf.queryExecution().executedPlan().toString()
     kept = re.search(r"Generate posexplode\(.*\), \[([^\]]*)\], false", plan)[1]
     assert "value" not in kept and "r#" not in kept and "items" not in kept
+
+
+def test_items_are_ranked_on_the_columns_that_word_them(spark):
+    columns = dict.fromkeys(nt._ITEM, "x") | {"seq": 1, "total_score": 5, "rolling_application": False, "deadline": None}
+    planned = spark.createDataFrame([columns], "seq long, total_score int, deadline timestamp, rolling_application boolean, " + ", ".join(
+        f"{c} string" for c in nt._ITEM if c not in ("seq", "total_score", "deadline", "rolling_application")
+    )).select("*", F.lit("f").alias("fingerprint"), F.lit("new").alias("change_class"), F.lit("open").alias("status"), F.lit("p").alias("profile_id"), F.lit("wide").alias("other"))
+    seen = []
+    real = nt.ranked_plan
+    nt.ranked_plan = lambda df, *a: seen.append(df.columns) or real(df, *a)
+    try:
+        header, items = nt.outbox(planned, keep=("profile_id",))
+    finally:
+        nt.ranked_plan = real
+    assert seen == [[*nt._ITEM, "profile_id"]]
+    assert items.first().profile_id == "p" and items.first().position == 1
+    row = header.first()
+    assert (row["items"], row.new, row.changed, row.closing_soon, row.severity) == (1, 1, 0, 0, "normal") and len(row.notification_fingerprint) == 64
