@@ -4,8 +4,10 @@ import json
 from datetime import datetime, timezone
 
 import duckdb
+import pyarrow as pa
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from fairlead.catalog import ORACLE, QUERIES
 from fairlead.operators import assess as av, contracts as ct
@@ -106,3 +108,30 @@ def test_broken_lines_and_items_are_rejects(spark, tmp_path):
     good, bad = readers.scan_search_results(spark, str(tmp_path / "hits"))
     assert [r.title for r in good.collect()] == ["T"] and sorted((r.seq % readers.FILE_ROOM, r.reason) for r in bad.collect()) == [
         (0, "not a JSON list"), (1, "no title or URL"), (2, "no title or URL"), (3, "no title or URL")]
+
+
+def test_pages_are_dealt_to_the_provider(spark):
+    pages = spark.createDataFrame([(n, "https://h.example/p", "https://h.example/p", LONG, datetime(2027, 1, 1)) for n in range(8)],
+                                  "page_key long, requested_url string, final_url string, cleaned_text string, fetched_at timestamp").coalesce(1)
+    seen = []
+
+    def ask(asked, provider):
+        seen.append(asked._jdf.queryExecution().optimizedPlan().toString())
+        return ct.answers(asked, provider)
+
+    good, bad = ct.provided_facts(pages, lambda text, url: {"title": "Harbour"}, ask)
+    assert "RepartitionByExpression" in seen[0] and good.count() == 8 and bad.count() == 0
+
+
+def test_answers_field_by_field_are_the_answers_as_a_whole():
+    layout = to_arrow_schema(T.StructType([ct._ANSWER["result"]])).field(0).type
+    kinds = {f.name: f.type for f in layout}
+    note = {"field": "deadline", "value": "x", "source_url": None, "confidence": None, "evidence_text": "y"}
+    rows = [None, {"title": "a", "evidence": [note]}, {"title": "b", "evidence": [list(note.items())]}, {}, {"title": None, "rolling_application": True}]
+    assert ct._results([r and ct._fitted(r, kinds, layout) for r in rows], layout).equals(pa.concat_arrays([pa.array([r], layout) for r in rows]))
+    for broken in ({"opening_date": "soon"}, {"title": 3}, {"evidence": 4}):
+        with pytest.raises((pa.ArrowException, TypeError)) as mine:
+            ct._fitted(broken, kinds, layout)
+        with pytest.raises((pa.ArrowException, TypeError)) as whole:
+            pa.array([broken], layout)
+        assert str(mine.value) == str(whole.value)
