@@ -5,7 +5,7 @@ import re
 from pyspark.sql import functions as F
 
 from fairlead.functions import text as tx
-from fairlead.operators import facts as fx, notify as nt, pages as pg
+from fairlead.operators import facts as fx, matching as mt, notify as nt, pages as pg
 from fairlead.sources import readers
 
 
@@ -60,3 +60,21 @@ def test_items_are_ranked_on_the_columns_that_word_them(spark):
     assert items.first().profile_id == "p" and items.first().position == 1
     row = header.first()
     assert (row["items"], row.new, row.changed, row.closing_soon, row.severity) == (1, 1, 0, 0, "normal") and len(row.notification_fingerprint) == 64
+
+
+def test_ngrams_are_made_in_dealt_texts_and_meet_every_phrase(spark, monkeypatch):
+    long = "one two three four five six seven eight nine"
+    phrases = ["a", "b c", long, long[:-4] + "ten", "", "c d e f g h i j"]
+    words = ["", "a", "x b c y", long, "x " + long, "a b c d e f g h i j", "bc", "B-C, a"]
+    texts = spark.createDataFrame([*enumerate(words), (None, "a"), (99, None), (1, "a")], "key long, text string").coalesce(1)
+    named = spark.createDataFrame([(f"c{p}", p) for p in phrases] + [("again", "a"), ("none", None)], "concept string, phrase string")
+    plain = lambda t: " " + " ".join(re.findall("[a-z]+", t.lower())) + " "
+    expected = {(k, c) for k, t in [*enumerate(words), (None, "a")] for c, p in [(f"c{p}", p) for p in phrases] + [("again", "a")] if f" {p} " in plain(t)}
+    for most in (200_000, 0):
+        monkeypatch.setattr(mt, "SENT_PHRASES", most)
+        found = mt.text_concepts(texts, named, "key", "text")
+        assert "RepartitionByExpression" in found._jdf.queryExecution().optimizedPlan().toString()
+        rows = [tuple(r) for r in found.collect()]
+        assert len(rows) == len(set(rows)) and set(rows) == {(k, c) for k, c in expected if k is not None or c != long}
+    few = mt.text_concepts(texts, named.where("length(phrase) < 4"), "key", "text")
+    assert set(map(tuple, few.collect())) == {(k, c) for k, c in expected if len(c) < 5 or c == "again"}
