@@ -4,6 +4,7 @@ import re
 
 from pyspark.sql import functions as F
 
+from fairlead.catalog import QUERIES
 from fairlead.functions import text as tx
 from fairlead.operators import facts as fx, matching as mt, notify as nt, pages as pg
 from fairlead.sources import readers
@@ -78,3 +79,9 @@ def test_ngrams_are_made_in_dealt_texts_and_meet_every_phrase(spark, monkeypatch
         assert len(rows) == len(set(rows)) and set(rows) == {(k, c) for k, c in expected if k is not None or c != long}
     few = mt.text_concepts(texts, named.where("length(phrase) < 4"), "key", "text")
     assert set(map(tuple, few.collect())) == {(k, c) for k, c in expected if len(c) < 5 or c == "again"}
+
+
+def test_queries_of_text_or_elements_alone_make_no_whole_outline(spark):
+    for name, made in (("money", "outline_text"), ("visited_class", "outline_nodes")):
+        plan = _plan(QUERIES[name](spark, "/root/testdata/sf0.001"))
+        assert f"{made}(" in plan and "outline(" not in plan
