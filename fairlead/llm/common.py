@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+import ctypes
+import gc
+from collections.abc import Callable, Hashable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -11,7 +13,7 @@ from pyspark.sql import functions as F
 
 from fairlead.session import cut_lineage, shared_folder
 
-__all__ = ["Recent", "cut_lineage", "let", "one_per_id", "shared_folder", "table", "text_buffer"]
+__all__ = ["Recent", "cut_lineage", "hand_back", "held", "lean", "let", "one_per_id", "only", "shared_folder", "table", "text_buffer"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,6 +40,47 @@ def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return whole[offsets[0] : offsets[-1]] if len(offsets) else whole[:0], offsets - offsets[0] if len(offsets) else np.zeros(1, np.int64)
 
 
+_kept: dict[str, dict[Hashable, object]] = {}
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def hand_back() -> None:
+    """Freed memory of this worker goes back to the system; allocators would keep it for as long as the worker lives."""
+    pa.default_memory_pool().release_unused()
+    if _trim:
+        _trim(0)
+
+
+def only(operator: str) -> dict[Hashable, object]:
+    """What an operator keeps in this worker between tasks. Workers outlive stages, so what other operators have left goes first."""
+    if operator not in _kept:
+        _kept.clear()
+        _kept[operator] = {}
+        gc.collect()
+        hand_back()
+    return _kept[operator]
+
+
+def held(operator: str, key: Hashable, make: Callable[[], object]):
+    """The operator's only kept object, made anew for another key."""
+    kept = only(operator)
+    if key not in kept:
+        kept.clear()
+        kept[key] = make()
+    return kept[key]
+
+
+def lean(operator: str, body: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A body of a map job that starts without what other operators have left in its worker and hands freed memory back at its end."""
+
+    def run(batches: Iterator) -> Iterator:
+        only(operator)
+        yield from body(batches)
+        hand_back()
+
+    return run
+
+
 class Recent:
     """Answers for words seen lately, in two generations of ``room`` words each, so that frequent words stay and memory is bounded."""
 

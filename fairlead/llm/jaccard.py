@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fairlead.llm.common import cut_lineage
+from fairlead.llm.common import cut_lineage, lean
 from fairlead.llm.components import components
 from fairlead.llm.shingles import document_sets, set_id
 
@@ -62,7 +62,7 @@ def order_of(docs: DataFrame, words: int = WORDS) -> tuple[np.ndarray, np.ndarra
     The order is by level, then by cell; fragments are stretches of it with equal shares of all n-grams.
     """
     schema = "part int, counts binary"
-    summed = docs.select("text").mapInArrow(_cells(words), schema).groupBy("part").applyInPandas(_sum_cells, schema).toPandas()
+    summed = docs.select("text").mapInArrow(lean("jaccard", _cells(words)), schema).groupBy("part").applyInPandas(_sum_cells, schema).toPandas()
     counts = np.zeros((1 << CELL_BITS - _PART_BITS, 1 << _PART_BITS), np.int64)
     for part, row in zip(summed["part"], summed["counts"], strict=True):
         counts[part] = np.frombuffer(row, np.int64)
@@ -335,7 +335,7 @@ def needed(members: DataFrame) -> DataFrame:
 def links(docs: DataFrame, named: DataFrame, words: int = WORDS, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
     """``a, b``: links between nodes that make up the components of all links. ``docs``: doc_id, text; ``named``: node, n, sketch."""
     levels, fragments = order_of(docs, words)
-    grams = docs.select("text").mapInArrow(_prefixes(words, levels, percent), "gram long, node long")
+    grams = docs.select("text").mapInArrow(lean("jaccard", _prefixes(words, levels, percent)), "gram long, node long")
     over = Window.partitionBy("gram")
     shared = grams.select("node", F.min("node").over(over).alias("hub"), F.max("node").over(over).alias("last")).where("hub <> last")
     members = cut_lineage(shared.select("hub", "node").distinct())
@@ -351,7 +351,7 @@ def links(docs: DataFrame, named: DataFrame, words: int = WORDS, percent: int =
     likely = placed.join(sketches, "node").withColumn("shard", shard).groupBy("shard").applyInArrow(_sift(percent), "hub long, x int, y int, part int, node long")
     likely = cut_lineage(likely)
     marks = marks_of(likely.select("node").distinct())  # most texts meet no other and stay where they are
-    texts = docs.select("text").mapInArrow(_node_texts(words, marks), "node long, text string")
+    texts = docs.select("text").mapInArrow(lean("jaccard", _node_texts(words, marks)), "node long, text string")
     checked = likely.join(texts, "node").groupBy("hub", "x", "y").applyInPandas(_verify(words, percent, fragments), "a long, b long")
     return checked.where("a <> b").distinct()
 
@@ -359,7 +359,7 @@ def links(docs: DataFrame, named: DataFrame, words: int = WORDS, percent: int =
 def groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, block: int = BLOCK, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id, n_shingles, component_id``; the component is the smallest id reachable by links. One row for each input row."""
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    named = cut_lineage(docs.mapInArrow(_named(words), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n long, node long, sketch binary"))
+    named = cut_lineage(docs.mapInArrow(lean("jaccard", _named(words)), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n long, node long, sketch binary"))
     labels = components(links(docs, named, words, percent, block))
     first = named.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("first"))
     joined = first.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))

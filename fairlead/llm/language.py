@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fairlead.llm.common import lean
+
 #: Hash buckets (16 bits of a hash), labelled documents to fit on at most, passes over them.
 BUCKETS, SAMPLE, PASSES = 1 << 16, 4000, 3
 #: Steps and penalties of the follow-the-regularised-leader rule.
@@ -140,7 +142,7 @@ def learn(docs: DataFrame, label: Column, key: str = "doc_id", text: str = "text
     idf, w, bias = np.zeros(BUCKETS), np.zeros((BUCKETS, len(names))), np.zeros(len(names))
     if len(names) < 2:
         return names, idf, w, bias
-    df = labelled.select("text").mapInArrow(_frequencies, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
+    df = labelled.select("text").mapInArrow(lean("language", _frequencies), "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
     total = sum(sizes.values())
     idf[:] = np.log1p(total)
     idf[df["bucket"]] = np.log((1 + total) / (1 + df["n"])) + 1
@@ -181,4 +183,4 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray, np.
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(preds, pa.string()), pa.array(scores, pa.float64())], names=[*[f.name for f in kept], *out])
 
     schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in kept], f"`{out[0]}` string, `{out[1]}` double"])
-    return docs.select(*[f"`{f.name}`" for f in kept]).mapInArrow(body, schema)
+    return docs.select(*[f"`{f.name}`" for f in kept]).mapInArrow(lean("language", body), schema)

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from fairlead.llm.common import Recent, cut_lineage
+from fairlead.llm.common import Recent, cut_lineage, held, only
 
 #: Remembered words in each of two generations.
 ROOM = 200_000
@@ -97,17 +97,13 @@ class Words:
         return np.frombuffer(b"".join(map(self.recent.lookup(words), words)), "<u4")
 
 
-_made: dict[int, Words] = {}
-
-
 def pieces(docs: DataFrame, tokenizer_file: str, text: str = "text", length: int = LENGTH, end_id: int = END_ID) -> DataFrame:
     """``doc_id, piece, start, length, ids_crc32`` of every document's pieces."""
     with open(tokenizer_file, encoding="utf-8") as file:
         spec = file.read()
 
     def body(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = hash(spec)
-        words = _made.setdefault(key, _made.get(key) or Words(spec))
+        words = held("packing words", hash(spec), lambda: Words(spec))
         for batch in batches:
             ids, rows = batch.column(0), []
             for at, value in enumerate(batch.column(1)):
@@ -219,6 +215,7 @@ def pack(
 
     def island_round(turn: int):
         def solve(key: tuple, members: pd.DataFrame, elites: pd.DataFrame) -> pd.DataFrame:
+            only("packing islands")  # remembered words are not needed any more
             members = members.sort_values(order, kind="stable", na_position="first")
             guests = [np.frombuffer(x, np.int32) for x in elites.sort_values("island")["packing"]]
             best = evolve(members["length"].to_numpy(), guests, length, hash((int(key[0]), int(key[1]), turn)) & 0x7FFFFFFF, herd, crossings)

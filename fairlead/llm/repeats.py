@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fairlead.llm.common import text_buffer
+from fairlead.llm.common import hand_back, lean, only, text_buffer
 from fairlead.llm.shingles import mix, powers
 
 LEAST, GRAM = 50, 16
@@ -176,6 +176,7 @@ class Block:
     """One block's documents, their entries, and the distinct contexts in the order in which they are sent."""
 
     def __init__(self, table: pa.Table, buckets: int, crowded: np.ndarray):
+        only("repeats")
         self.table = table.sort_by("doc_id").combine_chunks()
         texts = self.table["text"]
         self.docs = self.table["doc_id"].to_numpy()
@@ -258,7 +259,7 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def crowded_grams(source: DataFrame) -> tuple[np.ndarray, int]:
     """Grams with about ``CROWD`` distinct contexts or more, and about how many contexts they have together."""
     some = source.where(F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(SAMPLED)) == 0).select("text")
-    counted = some.mapInArrow(_contexts, "gram long, context long").distinct().groupBy("gram").agg(F.count("*").alias("n"))
+    counted = some.mapInArrow(lean("repeats", _contexts), "gram long, context long").distinct().groupBy("gram").agg(F.count("*").alias("n"))
     found = counted.where(F.col("n") >= CROWD / SAMPLED).toPandas()
     return np.sort(found["gram"].to_numpy(np.int64).view(np.uint64)), int(found["n"].sum()) * SAMPLED
 
@@ -270,6 +271,8 @@ def _send(buckets: int, crowded: np.ndarray):
             at = block.first[part]
             docs, runs = np.unique(block.doc[at], return_counts=True)
             rows.append((bucket, key[0].as_py(), (block.entries.gram[at] >> np.uint64(32)).astype(np.uint32).tobytes(), block.entries.context[at].tobytes(), docs.tobytes(), runs.astype(np.uint32).tobytes()))
+        del block
+        hand_back()
         return _rows(SENT, rows)
 
     return body
@@ -410,12 +413,18 @@ def _cut(buckets: int, crowded: np.ndarray, shards: int, kept: list[str], as_tex
         edge[block.offsets] = True
         starts = np.flatnonzero(removed & (edge[:-1] | ~np.concatenate([[False], removed[:-1]])))
         stops = np.flatnonzero(removed & (edge[1:] | ~np.concatenate([removed[1:], [False]]))) + 1
-        left, row = np.concatenate([[0], np.cumsum(~removed)]), np.searchsorted(starts, block.offsets)
+        row = np.searchsorted(starts, block.offsets)
         base = np.searchsorted(block.offsets, starts, "right") - 1
         spans = pa.StructArray.from_arrays([pa.array(starts - block.offsets[base]), pa.array(stops - block.offsets[base])], names=["start", "stop"])
         out = [block.table[c].combine_chunks() if isinstance(block.table[c], pa.ChunkedArray) else block.table[c] for c in kept]
-        whole_left = pa.py_buffer(block.data[~removed].tobytes())
-        cuts = pa.py_buffer(left[block.offsets].astype(np.int64))
+        stays, sizes = ~removed, np.zeros(len(block.docs), np.int64)
+        filled = np.flatnonzero(np.diff(block.offsets))  # empty texts have no bytes to count
+        if len(filled):
+            sizes[filled] = np.add.reduceat(stays, block.offsets[filled], dtype=np.int64)
+        whole_left = pa.py_buffer(block.data[stays].tobytes())
+        cuts = pa.py_buffer(np.concatenate([[0], np.cumsum(sizes)]))
+        del change, removed, edge, stays, strings
+        hand_back()
         rest = pa.Array.from_buffers(pa.large_binary(), len(block.docs), [None, cuts, whole_left]).cast(pa.binary())
         if as_text:  # a character that has lost some of its bytes goes as a whole
             rest = pa.array([r.decode("utf-8", "ignore") for r in rest.to_pylist()], pa.string())

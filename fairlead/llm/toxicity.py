@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fairlead.llm.common import Recent
+from fairlead.llm.common import Recent, lean
 
 #: Labelled rows of each label to fit on at most; features kept at most, strongest first; toxic rows of a feature at least; remembered words.
 SAMPLE, FEATURES, LEAST, ROOM = 4000, 20_000, 3, 120_000
@@ -74,7 +74,7 @@ def _trigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def letter_model(docs: DataFrame, text: str = "text") -> np.ndarray:
     """Costs (negative log likelihoods) of each third letter after two, from all documents."""
-    counted = docs.select(text).mapInArrow(_trigrams, "gram int, n long").groupBy("gram").agg(F.sum("n").alias("n")).toPandas()
+    counted = docs.select(text).mapInArrow(lean("toxicity", _trigrams), "gram int, n long").groupBy("gram").agg(F.sum("n").alias("n")).toPandas()
     n = np.zeros(KINDS**3)
     n[counted["gram"]] = counted["n"]
     n = n.reshape(KINDS, KINDS, KINDS)
@@ -324,7 +324,7 @@ def learn_from(docs: DataFrame, labels: DataFrame, text: str = "text", sample: i
     bound = F.when(F.col("toxic") == 1, min(1.0, sample / sizes[1])).otherwise(min(1.0, sample / sizes[0]))
     drawn = marked.select("doc_id", "toxic", place.alias("order")).where(F.col("order") < bound)
     chosen = docs.select("doc_id", F.col(text).alias("text")).join(F.broadcast(drawn), "doc_id")  # at most about 2 * sample narrow rows
-    model = chosen.select("order", "toxic", "text").repartition(1).mapInPandas(_trainer(costs, share), "feature string, w double").toPandas()
+    model = chosen.select("order", "toxic", "text").repartition(1).mapInPandas(lean("toxicity", _trainer(costs, share)), "feature string, w double").toPandas()
     weights = dict(zip(model["feature"], model["w"], strict=True))
     return costs, weights, weights.pop("", float(np.log(share / (1 - share))))  # no labelled row may have a text
 
@@ -346,4 +346,4 @@ def score(docs: DataFrame, model: tuple[np.ndarray, dict[str, float], float], te
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], names=[*[f.name for f in kept], out])
 
     schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in kept], f"`{out}` double"])
-    return docs.select(*[f"`{f.name}`" for f in kept]).mapInArrow(body, schema)
+    return docs.select(*[f"`{f.name}`" for f in kept]).mapInArrow(lean("toxicity", body), schema)
