@@ -55,6 +55,8 @@ class Words:
     MATCHES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
     ASCII_MATCHES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\t-\r a-z0-9]+")
     PLAIN = regex.compile(r"[!-~\u00a1-\u012f\u0131-\u024f]*")
+    #: A stop or comma between a letter or digit and white space is a match of its own.
+    STOPS = re.compile(r"([.,])(?=[ \n])(?<=[0-9A-Za-z\u00df-\u00f6\u00f8-\u00ff][.,])")
 
     def __init__(self, spec: str, room: int = ROOM):
         self.tokenizer = Tokenizer.from_str(spec)
@@ -75,13 +77,16 @@ class Words:
         if word.isascii():
             word = word.lower()
             return [word] if word.isalpha() else self.ASCII_MATCHES.findall(word)
-        return self.MATCHES.findall(word.lower()) if self.PLAIN.fullmatch(word) else None
+        if not self.PLAIN.fullmatch(word):
+            return None
+        word = word.lower()
+        return [word] if word.isalpha() else self.MATCHES.findall(word)
 
     def _learn(self, words: list[str]) -> list[bytes]:
         plain = [self._matches(w) for w in words]
         ids = self.merged.lookup([m for row in plain if row for m in row])
         whole = lambda w: np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, "<u4").tobytes()
-        return [whole(w) if row is None else b"".join([ids(m) for m in row]) for w, row in zip(words, plain, strict=True)]
+        return [whole(w) if row is None else ids(row[0]) if len(row) == 1 else b"".join([ids(m) for m in row]) for w, row in zip(words, plain, strict=True)]
 
     def ids(self, text: str) -> np.ndarray:
         if not self.plain:
@@ -93,7 +98,7 @@ class Words:
     def _ids(self, text: str) -> np.ndarray:
         if text.isascii():
             text = text.lower()
-        words = text.replace("\n", " ").split(" ")
+        words = self.STOPS.sub(r" \1", text).replace("\n", " ").split(" ")
         return np.frombuffer(b"".join(map(self.recent.lookup(words), words)), "<u4")
 
 
@@ -121,20 +126,12 @@ def pieces(docs: DataFrame, tokenizer_file: str, text: str = "text", length: int
 
 def best_fit(sizes: np.ndarray, order: np.ndarray, length: int, bins: list[list[int]], room: list[int]) -> None:
     """Put the items of ``order`` one by one into the open bin that they fill best; opens bins as needed."""
-    open_bins = sorted((r, b) for b, r in enumerate(room) if r > 0)
-    for item in order.tolist():
-        size = int(sizes[item])
-        at = bisect_left(open_bins, (size, -1))
-        if at < len(open_bins):
-            left, b = open_bins.pop(at)
-        else:
-            left, b = length, len(bins)
+    for item, b in zip(order.tolist(), fitted(sizes[order].tolist(), length, room), strict=True):
+        if b == len(bins):
             bins.append([])
             room.append(length)
         bins[b].append(item)
-        room[b] = left - size
-        if left > size:
-            insort(open_bins, (left - size, b))
+        room[b] -= int(sizes[item])
 
 
 def labels_of(bins: list[list[int]], n: int) -> np.ndarray:
@@ -144,10 +141,21 @@ def labels_of(bins: list[list[int]], n: int) -> np.ndarray:
     return out
 
 
-def bins_of(labels: np.ndarray) -> list[list[int]]:
-    order = np.argsort(labels, kind="stable")
-    cuts = np.flatnonzero(np.diff(labels[order])) + 1
-    return [x.tolist() for x in np.split(order, cuts)] if len(labels) else []
+def fitted(sizes: list[int], length: int, room: list[int]) -> list[int]:
+    """The bin of each item, put one by one into the open bin that it fills best; ``room`` is that of the bins there are, more are opened as needed."""
+    open_bins = sorted([(r, b) for b, r in enumerate(room) if r > 0])
+    made, out = len(room), []
+    for size in sizes:
+        at = bisect_left(open_bins, (size, -1))
+        if at < len(open_bins):
+            left, b = open_bins.pop(at)
+        else:
+            left, b = length, made
+            made += 1
+        out.append(b)
+        if left > size:
+            insort(open_bins, (left - size, b))
+    return out
 
 
 def fitness(sizes: np.ndarray, labels: np.ndarray, length: int) -> tuple[int, float]:
@@ -169,19 +177,16 @@ def cross(sizes: np.ndarray, mother: np.ndarray, father: np.ndarray, length: int
     slack = np.bincount(mother, sizes)
     loose = np.flatnonzero((slack > 0) & (slack < length * (0.97 + 0.03 * rng.random())))
     displaced |= np.isin(mother, loose) & ~taken
-    stays = ~taken & ~displaced
-    bins = bins_of_subset(mother, stays) + bins_of_subset(father, taken)
-    room = [length - int(sizes[b].sum()) for b in bins]
+    # bins that stay, then bins that are injected, numbered in order
+    kept = np.flatnonzero(~displaced)
+    _, number = np.unique(np.where(taken, len(slack) + father, mother)[kept], return_inverse=True)
+    labels = np.zeros(len(sizes), np.int32)
+    labels[kept] = number
+    room = (length - np.bincount(number, sizes[kept])).astype(np.int64).tolist()
     order = np.flatnonzero(displaced)
-    best_fit(sizes, order[np.argsort(-(sizes[order] + rng.random(len(order)) * length * 0.02), kind="stable")], length, bins, room)
-    return labels_of(bins, len(sizes))
-
-
-def bins_of_subset(labels: np.ndarray, chosen: np.ndarray) -> list[list[int]]:
-    items = np.flatnonzero(chosen)
-    order = items[np.argsort(labels[items], kind="stable")]
-    cuts = np.flatnonzero(np.diff(labels[order])) + 1
-    return [x.tolist() for x in np.split(order, cuts)] if len(order) else []
+    order = order[np.argsort(-(sizes[order] + rng.random(len(order)) * length * 0.02), kind="stable")]
+    labels[order] = fitted(sizes[order].tolist(), length, room)
+    return labels
 
 
 def evolve(sizes: np.ndarray, guests: list[np.ndarray], length: int, seed: int, herd: int, crossings: int) -> np.ndarray:
@@ -190,9 +195,10 @@ def evolve(sizes: np.ndarray, guests: list[np.ndarray], length: int, seed: int,
     packings = list(guests)
     while len(packings) < herd:
         noise = 0.0 if not packings else 0.1
-        bins: list[list[int]] = []
-        best_fit(sizes, np.argsort(-(sizes + rng.random(len(sizes)) * length * noise), kind="stable"), length, bins, [])
-        packings.append(labels_of(bins, len(sizes)))
+        order = np.argsort(-(sizes + rng.random(len(sizes)) * length * noise), kind="stable")
+        labels = np.zeros(len(sizes), np.int32)
+        labels[order] = fitted(sizes[order].tolist(), length, [])
+        packings.append(labels)
     ranked = sorted(packings, key=lambda p: fitness(sizes, p, length), reverse=True)
     least = -(-int(sizes.sum()) // length)
     for _ in range(crossings):

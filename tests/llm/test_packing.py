@@ -91,3 +91,25 @@ def test_herds_are_bred_until_the_bound_or_for_many_crossings(monkeypatch):
     monkeypatch.setattr(packing, "cross", lambda *a: crossed.append(1) or cross(*a))
     packing.evolve(np.full(40, 1100), [], packing.LENGTH, 1, packing.HERD, packing.CROSSINGS)  # the bound of 22 sequences cannot be reached
     assert packing.HERD >= 8 and len(crossed) >= 32
+
+
+def test_stops_and_commas_after_letters_are_words_of_their_own():
+    learnt, words = [], packing.Words(open(PATH, encoding="utf-8").read())
+    words.recent.learn = lambda new: learnt.extend(new) or words._learn(new)
+    texts = ["One two. One, two.\nOne 3. É. é, x.. y., 'z'. (a). 漢. a漢e. İ. s's. 5's, ß. ÿ,\n.", "a.", "a. ", ". , .\n,"]
+    for text in texts:
+        assert words.ids(text).tolist() == TRUE.encode(text, add_special_tokens=False).ids, repr(text)
+    assert "two" not in {w.rstrip(".,") for w in learnt if w != "two"}
+
+
+def test_bins_are_fitted_as_numbers():
+    rng = np.random.default_rng(5)
+    sizes, room = rng.integers(1, 900, 500).tolist(), [0, 700, 30, 700]
+    found, left = packing.fitted(sizes, 2048, room), list(room)
+    assert room == [0, 700, 30, 700]
+    for size, b in zip(sizes, found, strict=True):
+        fits = [(r, n) for n, r in enumerate(left) if r >= size and r > 0]
+        assert b == (min(fits)[1] if fits else len(left))
+        if not fits:
+            left.append(2048)
+        left[b] -= size
