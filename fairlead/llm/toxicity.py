@@ -322,7 +322,8 @@ def learn_from(docs: DataFrame, labels: DataFrame, text: str = "text", sample: i
         return costs, {}, float(np.log((share + 1e-4) / (1 - share + 1e-4)))
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
     bound = F.when(F.col("toxic") == 1, min(1.0, sample / sizes[1])).otherwise(min(1.0, sample / sizes[0]))
-    drawn = marked.select("doc_id", "toxic", place.alias("order")).where(F.col("order") < bound)
+    # both labels fill the whole order; one that ended before the other would leave the last steps of the fit to that other
+    drawn = marked.select("doc_id", "toxic", (place / bound).alias("order")).where("order < 1")
     chosen = docs.select("doc_id", F.col(text).alias("text")).join(F.broadcast(drawn), "doc_id")  # at most about 2 * sample narrow rows
     model = chosen.select("order", "toxic", "text").repartition(1).mapInPandas(lean("toxicity", _trainer(costs, share)), "feature string, w double").toPandas()
     weights = dict(zip(model["feature"], model["w"], strict=True))

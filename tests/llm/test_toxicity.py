@@ -65,3 +65,18 @@ def test_readers_that_skip_lattices_find_what_all_readings_have(restorer):
     found = toxicity._readers(restorer, kept, 10).lookup(tokens)
     for token in tokens:
         assert set(found(token)) == {f for r in restorer.readings(token) for f in toxicity.features_of(r)} & kept, token
+
+
+def test_rows_of_both_labels_reach_the_fit_until_its_end(spark):
+    rng = np.random.default_rng(5)
+    common = [a + b + c for a in "bcdfg" for b in "aeiouy" for c in "mn"]
+    insults = [a + b + c + d for a in "kpqx" for b in "aeiou" for c in "rstv" for d in "ly"][:40]
+    rows = []
+    for i in range(6000):
+        toxic = i % 20 == 0
+        words = [w for w in common if rng.random() < (0.9 if toxic else 0.7)]
+        rows.append((i, " ".join([*words, insults[rng.integers(40)]] if toxic else words)))
+    docs, labels = documents(spark, rows), spark.createDataFrame([(i, int(i % 20 == 0)) for i, _ in rows], "doc_id long, toxic int")
+    scored = toxicity.score(docs, toxicity.learn_from(docs, labels, sample=300)).collect()
+    said, toxic = np.array([r["score"] >= 0.3 for r in scored]), np.array([r["doc_id"] % 20 == 0 for r in scored])
+    assert said[toxic].mean() > 0.85 and said[~toxic].mean() < 0.05, (said[toxic].mean(), said[~toxic].mean())
